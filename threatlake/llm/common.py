@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +76,39 @@ def components(vertices: DataFrame, edges: DataFrame, name: str = "cc") -> DataF
         .join(roots.withColumnRenamed("a", "id"), "id", "left")
         .select("id", F.coalesce("root", "id").alias("component_id"))
     )
+
+
+#: Items of a block of an array that tasks add up, and tasks whose blocks are added in the first step.
+BLOCK, FAN_IN = 8192, 64
+
+
+def blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's array as rows (task, block, payload), for sum_arrays; blocks of zeros are left out."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    task = context.partitionId() if context else 0
+    parts = [(i // BLOCK, total[i : i + BLOCK]) for i in range(0, len(total), BLOCK)]
+    parts = [(i, x) for i, x in parts if x.any()]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], ["task", "block", "payload"])
+
+
+def sum_arrays(parts: DataFrame, dtype, n: int) -> np.ndarray:
+    """The sum of the tasks' arrays of n items: FAN_IN tasks at a time, then the rest; only the sum reaches the driver."""
+
+    def add(keys: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in group:
+            for x in b.column("payload").to_pylist():
+                x = np.frombuffer(x, dtype)
+                total = x.astype(np.result_type(dtype, np.float32) if np.dtype(dtype).kind == "f" else np.int64) if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int64()), pa.array([keys[1].as_py()], pa.int32()), pa.array([total.astype(dtype).tobytes()], pa.binary())], ["task", "block", "payload"])
+
+    for by in (F.floor(F.col("task") / FAN_IN), F.lit(0)):
+        parts = parts.select(by.cast("long").alias("task"), "block", "payload").groupBy("task", "block").applyInArrow(add, "task long, block int, payload binary")
+    out = np.zeros(n, dtype)
+    for r in parts.toLocalIterator():
+        x = np.frombuffer(bytes(r["payload"]), dtype)
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(x)] = x
+    return out

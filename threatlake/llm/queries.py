@@ -8,6 +8,8 @@ from collections.abc import Callable
 #: Query and its module.
 MODULES = {
     "op1_token_counts": "token_counts",
+    "op2_lm_scoring": "language_model",
+    "op3_ngram_join": "ngram_join",
 }
 
 
