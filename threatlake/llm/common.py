@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Few rows in an Arrow batch, for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table. Only Spark's reader opens the path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -10,6 +10,13 @@ MODULES = {
     "op1_token_counts": "token_counts",
     "op2_lm_scoring": "language_model",
     "op3_ngram_join": "ngram_join",
+    "op4_embedding_near_dedup": "near_vectors",
+    "op5_license_scan": "licenses",
+    "op6_document_fingerprints": "fingerprints",
+    "op7_pii": "pii",
+    "op8_best_fit_packing": "packing",
+    "op9_sentencepiece": "piece_sampling",
+    "op10_language_id": "language_id",
 }
 
 
