@@ -1,14 +1,59 @@
-"""A corpus pipeline of four stages; each takes (spark, docs, sf_dir) and returns the documents it keeps."""
+"""A corpus pipeline of four stages; each takes (spark, docs, sf_dir) and returns the documents it keeps.
+
+Language identification drops documents without a language; of each group of near duplicates the document with the
+smallest id stays, and so does one of repeated rows; personal data is replaced by its kind; what is left is packed.
+Documents without an id are kept by all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threatlake.llm import common, language_id, ngram_join, packing, pii
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network knows; `und` goes."""
+    common.bounded_batches(spark)
+    network = language_id.fit(language_id.training_rows(docs.select("doc_id", "text", "lang")))
+    return language_id.languages(docs, network).where("lang_pred != 'und'").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    common.bounded_batches(spark)
+    kept = ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.union(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind in brackets for each span of personal data."""
+    common.bounded_batches(spark)
+    return pii.masked(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    common.bounded_batches(spark)
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_languages),
+    ("ngram_join", drop_near_duplicates),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+]
 
 #: SQL can't express the language model, the pattern bootstrapping or the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Applies the stages to documents; each result is written, and read as the next one's documents."""
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
