@@ -8,9 +8,9 @@ are summed per pair, which gives the exact similarity.
 
 Documents of equal sets are one class from the start. A prefix shingle that more than `SMALL` classes share doesn't
 pair them all: one of them is the pivot, every other is counted against it, and those in the pivot's component need no
-more. The rest are grouped again; pairs across a pivot's component are only counted where the exact distances to the
-pivot allow a link (|d(x) - d(y)| <= 1 - t, the triangle inequality of the Jaccard distance). So no link between
-components is lost, and a large group of near copies costs a row a member.
+more. The rest are grouped again; pairs across a pivot's component are only counted where the places of their first
+shared shingles and the exact distances to the pivot allow a link (|d(x) - d(y)| <= 1 - t, the triangle inequality of
+the Jaccard distance). So no link between components is lost, and a large group of near copies costs a row a member.
 
 Null texts and texts without words have an empty set and link with nothing. Texts of fewer words than a shingle have
 one shingle, the whole sequence. Repeated rows (equal ids) have equal results; rows without an id keep a null id and
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatlake.llm.common import components, read, sum_arrays, table
+from threatlake.llm.common import blocks, components, read, sum_arrays, table
 
 #: Buckets of the hashed document frequencies (4 MB), and fragments of the global order.
 BUCKETS, FRAGMENTS = 1 << 20, 8
 #: Classes that share a prefix shingle and are paired at once; more get a pivot. Rounds of pivots.
-SMALL, ROUNDS = 3, 3
+SMALL, ROUNDS = 3, 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -62,8 +62,6 @@ def frequencies(docs: DataFrame, words: int, text: str = "text") -> np.ndarray:
             found = [shingles(t, words) >> np.uint64(44) for t in b.column(0).to_pylist()]
             if found:
                 total += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
-        from threatlake.llm.common import blocks
-
         yield from blocks(total)
 
     return sum_arrays(docs.select(text).mapInArrow(count, "task long, block int, payload binary"), np.int64, BUCKETS)
@@ -154,7 +152,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     # sizes and positions must allow the similarity; of a similar pair's first common shingle they do
     fits = f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - ia, nb - ib) - 1) >= {percent} * (na + nb)"
     pairs = a.join(b, "shingle").where(fits).select("a", "b").distinct()
-    groups = table(posted.where(F.col("m") > SMALL).select(F.col("pivot").alias("g"), F.col("rep").alias("x"), "n").distinct(), "groups")
+    # i: the first place of any shingle that put x into the group; what x shares with a member begins there or later
+    groups = table(posted.where(F.col("m") > SMALL).groupBy(F.col("pivot").alias("g"), F.col("rep").alias("x")).agg(F.first("n").alias("n"), F.min("at").alias("i")), "groups")
     pairs = table(pairs.union(groups.where("g != x").select(F.least("g", "x"), F.greatest("g", "x"))).distinct(), "pairs")
 
     wanted = table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
@@ -178,21 +177,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
         far = (
             groups.join(seen.select(F.col("a").alias("g"), F.col("b").alias("x"), "d").union(seen.select("b", "a", "d")), ["g", "x"], "left")
             .join(comp.toDF("x", "cx"), "x").join(comp.toDF("g", "cg"), "g")
-            .select("g", "x", "n", F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"), "cx", "cg")
+            .select("g", "x", "n", "i", F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"), "cx", "cg")
         )
         far = table(far, "far")
         rest = far.where("cx != cg")
         if rest.isEmpty():
             break
-        outer, inner = rest.toDF("g", "x", "nx", "dx", "cx", "cg"), far.where("cx = cg").select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
+        outer, inner = rest.toDF("g", "x", "nx", "ix", "dx", "cx", "cg"), far.where("cx = cg").select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("d").alias("dy"))
         across = outer.join(inner, "g").where(_near(percent))
         if turn == ROUNDS - 1:  # what is still apart is counted pair by pair
-            across = across.select("x", "y").union(outer.join(rest.toDF("g", "y", "ny", "dy", "cy", "_"), "g").where(f"x < y and cx != cy and {_near(percent)}").select("x", "y"))
+            across = across.select("x", "y").union(outer.join(rest.toDF("g", "y", "ny", "iy", "dy", "cy", "_"), "g").where(f"x < y and cx != cy and {_near(percent)}").select("x", "y"))
         done = seen.select("a", "b")
         new = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b")
         heads = rest.groupBy("g", "cx").agg(F.min("x").alias("head"))
         heads = heads.groupBy("g").agg(F.min("head").alias("head"))
-        groups = table(rest.join(heads, "g").select(F.col("head").alias("g"), "x", "n").distinct(), "groups")
+        groups = table(rest.join(heads, "g").groupBy(F.col("head").alias("g"), "x").agg(F.first("n").alias("n"), F.min("i").alias("i")), "groups")
         stars = groups.where("g != x").select(F.least("g", "x").alias("a"), F.greatest("g", "x").alias("b"))
         todo = table(new.union(stars).distinct().join(done, ["a", "b"], "left_anti"), "todo")
         late = counted(todo, "counted")
@@ -207,8 +206,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
 
 
 def _near(percent: int) -> str:
-    """What sizes and distances to a common pivot must satisfy for x and y to link; a hair of room for rounding."""
-    return f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and abs(dx - dy) <= {(100 - percent) / 100} + 1e-9"
+    """What sizes, first places and distances to a common pivot must satisfy for x and y to link; a hair of room for rounding."""
+    places = f"(100 + {percent}) * least(nx - ix, ny - iy) >= {percent} * (nx + ny)"
+    return f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {places} and abs(dx - dy) <= {(100 - percent) / 100} + 1e-9"
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
