@@ -42,7 +42,7 @@ def read_rows(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     first = head[0] if head else ""
     order = F.monotonically_increasing_id()
     if first.lstrip('"').startswith("<") and ("HTTP/" in first or "httpd[" in first):
-        lines = spark.read.text(path).where("trim(value) != ''").select(F.regexp_replace(F.regexp_replace("value", '^"|"$', ""), '""', '"').alias("logevent"))
+        lines = spark.read.text(path).where("trim(value) != ''").select(F.regexp_replace(F.regexp_replace("value", '^"(<.*)"$', "$1"), '""', '"').alias("logevent"))
         return "lines", lines.select((order + 1).alias("row_number"), "logevent")
     rows = spark.read.csv(path, header=True, sep=delimiter(head), mode="PERMISSIVE", enforceSchema=False)
     clean = [F.col(f"`{c}`").alias(c.strip().strip("|").strip().lower()) for c in rows.columns]
