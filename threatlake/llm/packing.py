@@ -64,17 +64,26 @@ class Encoder:
             return b"".join([new[c] for c in chunks])
         except KeyError:
             pass
-        missing = []
+        missing, alone = [], []
         for c in set(chunks):
             if c not in new:
                 if c in old:
                     new[c] = old[c]
                 else:
-                    missing.append(c)
-        for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            new[c] = np.array(e.ids, "<u4").tobytes()
+                    # chunks that begin with white space and end without can stand side by side
+                    (missing if c[0] in " \t\n\r" and c[-1] not in " \t\n\r" else alone).append(c)
+        if missing:
+            e = self.tokenizer.encode("".join(missing), add_special_tokens=False)
+            ends = np.cumsum([len(c) for c in missing])
+            of = np.searchsorted(ends, np.array([o[1] for o in e.offsets]))
+            cuts = (4 * np.cumsum(np.bincount(of, minlength=len(missing)))).tolist()
+            data = np.array(e.ids, "<u4").tobytes()
+            for c, x, y in zip(missing, [0, *cuts], cuts, strict=False):
+                new[c] = data[x:y]
+        for c in alone:
+            new[c] = self.ids(c)
         out = b"".join([new[c] for c in chunks])
-        for c in missing:
+        for c in [*missing, *alone]:
             if len(c) > CACHE_LENGTH:
                 del new[c]
         if len(new) >= CACHE_CHUNKS:
