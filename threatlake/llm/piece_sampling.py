@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from threatlake.llm.common import read
 
 MARK = "▁"
-#: Chunks of which tables are kept, and their longest.
-CACHE_CHUNKS, CACHE_LENGTH = 200_000, 32
+#: Chunks of which tables are kept (about 3 kB each), and their longest.
+CACHE_CHUNKS, CACHE_LENGTH = 100_000, 32
 
 
 class Sampler:
