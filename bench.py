@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-NAMES = ["normalize_events", "rule_matches_injection", "rule_matches_info_leakage", "rate_rules", "threat_groups", "chunks_multi_index", "suspicious_chunks", "chunk_risk_topk", "actor_totals", "correlations", "mitre_mapping", "rollup_actors"]
+NAMES = ["normalize_events", "rule_matches_injection", "threat_groups", "chunks_multi_index", "chunk_risk_topk", "actor_batch_stats"]
 
 
 def main() -> None:
