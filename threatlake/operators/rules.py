@@ -203,21 +203,28 @@ def _hit(rule: Rule, field: Column | str, evidence: Column) -> Column:
     return F.struct(F.lit(rule.name).alias("rule_name"), (F.lit(field) if isinstance(field, str) else field).alias("matched_field"), F.substring(evidence, 1, 200).alias("evidence"))
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def signature(rule: Rule) -> Column:
-    """A struct for the first field that matches, or null. Expects the columns that matches() adds."""
-    pattern = "|".join(f"(?:{p})" for p in rule.patterns)
+    """A struct for the first field that matches, or null. Expects the columns that matches() adds.
 
-    def holds(f: str) -> Column:
+    Given as one SQL text: composed of columns, the catalogue takes thousands of calls to the JVM for each query.
+    """
+    pattern = "|".join(f"(?:{p})" for p in rule.patterns)
+    cases = []
+    for f in rule.fields:
         # on ASCII text the plain flags mean the same and are faster
-        exact, plain = F.col(f).rlike(FLAGS + pattern), F.col(f).rlike("(?id)" + pattern)
+        plain = f"{f} RLIKE {_quoted('(?id)' + pattern)}"
         if rule.name in TRIGGERS:
-            plain = _any(F.col(f"_low_{f}"), TRIGGERS[rule.name]) & plain
-        return F.when(F.col(f"_ascii_{f}"), plain).otherwise(exact)
-
-    hit = F.coalesce(*(F.when(text.filled(F.col(f)) & holds(f), _hit(rule, f, F.col(f))) for f in rule.fields))
+            plain = f"({' OR '.join(f'contains(_low_{f}, {_quoted(t)})' for t in TRIGGERS[rule.name])}) AND {plain}"
+        holds = f"CASE WHEN _ascii_{f} THEN {plain} ELSE {f} RLIKE {_quoted(FLAGS + pattern)} END"
+        cases.append(f"WHEN {f} <> '' AND {holds} THEN named_struct('rule_name', {_quoted(rule.name)}, 'matched_field', '{f}', 'evidence', substring({f}, 1, 200))")
+    hit = f"CASE {' '.join(cases)} END"
     if rule.family in SUCCESS_ONLY:
-        hit = F.when(F.col("http_status").isNull() | F.col("http_status").between(200, 399), hit)
-    return hit
+        hit = f"CASE WHEN http_status IS NULL OR http_status BETWEEN 200 AND 399 THEN {hit} END"
+    return F.expr(hit)
 
 
 def _any(column: Column, parts: list[str], how: str = "contains") -> Column:
@@ -326,5 +333,8 @@ def rate_matches(events: DataFrame, keys: tuple = ()) -> DataFrame:
 
 def describe(found: DataFrame) -> DataFrame:
     """Adds category, family, severity, confidence and description of each row's rule."""
-    get = lambda what: F.element_at(F.create_map(*(F.lit(x) for r in EVERY.values() for x in (r.name, getattr(r, what)))), F.col("rule_name"))
-    return found.withColumns({k: get(k) for k in ("category", "family", "severity", "confidence", "description")})
+    def of(what: str) -> Column:
+        pairs = ", ".join(f"{_quoted(r.name)}, {_quoted(v) if isinstance(v := getattr(r, what), str) else f'{v!r}D'}" for r in EVERY.values())
+        return F.expr(f"element_at(map({pairs}), rule_name)")
+
+    return found.withColumns({k: of(k) for k in ("category", "family", "severity", "confidence", "description")})
