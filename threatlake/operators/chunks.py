@@ -86,11 +86,13 @@ def profiles(windows: DataFrame) -> DataFrame:
     minutes = (F.col("window_end") - F.col("window_start")) / 60e6
     intervals = F.transform(F.sequence(F.lit(2), F.size("times")), lambda i: (F.element_at("times", i) - F.element_at("times", i - 1)) / 1e6)
     intervals = F.when(F.size("times") > 1, intervals).otherwise(F.array().cast("array<double>"))
-    return out.select(
+    out = out.select(
         "strategy", "entity", "window_start", "window_end", "events", "allowed", "denied", "sources", F.size(F.array_union("ips", "hosts")).alias("targets"), F.slice("ports", 1, 20).alias("ports"), "bytes_sent",
         (F.col("denied") / F.col("events")).alias("failure_rate"), F.when((minutes > 0) & (F.col("events") > 1), F.col("events") / minutes).otherwise(F.col("events").cast("double")).alias("per_minute"),
         intervals.alias("intervals"),
-    ).withColumn("pattern", temporal_pattern(F.col("intervals"))).drop("intervals")
+    )
+    # filters on the pattern stay above a generator; through a projection they would take copies of the expression along
+    return out.select("*", F.inline(F.array(F.struct(temporal_pattern(F.col("intervals")).alias("pattern"))))).drop("intervals")
 
 
 def suspicious(chunks: DataFrame, events: int = 10, failures: float = 0.3, targets: int = 3) -> DataFrame:
