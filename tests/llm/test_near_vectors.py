@@ -46,3 +46,18 @@ def test_edges(spark):
     assert N.near_vectors(df.where("false")).count() == 0
     out = N.op4_embedding_near_dedup(spark, "/root/testdata/sf0.001")
     assert out.columns == ["vec_id", "n_links", "component_id", "kept"] and out.count() == 500
+
+
+def test_tight_group_is_not_copied(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    centre = r.normal(size=24)
+    x = np.concatenate([centre / np.linalg.norm(centre) + r.normal(scale=0.1 / np.sqrt(24), size=(900, 24)), r.normal(size=(300, 24))])
+    written, write = [], N.table
+    monkeypatch.setattr(N, "table", lambda df, name: (out := write(df, name), written.append((name, out.count())))[0])
+    monkeypatch.setattr(N, "ROWS", 200)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {y.vec_id: (y.n_links, y.component_id) for y in N.near_vectors(df).collect()}
+    assert max(n for name, n in written if name == "nodes") <= 1.3 * N.TREES * len(x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert true[:900].min() > 800 and all(got[i] == (true[i], 0) for i in range(900)) and all(got[i][0] <= true[i] for i in range(900, 1200))

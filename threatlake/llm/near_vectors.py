@@ -3,9 +3,12 @@
 Each of `TREES` trees splits the vectors by the median projection on a random direction, again and again, until a leaf
 holds few; vectors near a split go to both sides (spill). Splits are fitted on a bounded sample of each node (`SAMPLE`
 expected rows by hash), every vector then descends them. A round refines all nodes that are still too large, several
-levels at once. Within a leaf all vectors are compared exactly, in double precision and in blocks, so no link below the
-threshold is returned; recall depends on the forest (tests measure it). A pair that shares several leaves counts in the
-smallest of their numbers only, so leaves give sums of links and connecting edges, never lists of all pairs.
+levels at once. A node stays whole if a split sends too many vectors to both sides (`STALL`), or if the splits above it
+have made too many copies already (`COPIES`), as in a tight group of distinct vectors. Within a leaf all vectors are
+compared exactly, in double precision, so no link below the threshold is returned; recall depends on the forest (tests
+measure it). A leaf of more than `ROWS` vectors is cut into blocks, and each pair of blocks is a group of its own. A
+pair that shares several leaves counts in the smallest of their numbers only, so leaves give sums of links and
+connecting edges, never lists of all pairs.
 
 Equal vectors are one class from the start. Vectors that are null, empty, zero or hold null or non-finite components
 link with nothing, and vectors of different lengths are not compared. Rows with equal ids count as vectors of their own.
@@ -26,51 +29,80 @@ from pyspark.sql import functions as F
 from threatlake.llm.common import components, read, table
 
 TREES, LEAF, SAMPLE = 7, 256, 4096
-#: Levels that one round fits, and rounds at most; a group of nearly equal vectors stays together however often it is split.
-LEVELS, ROUNDS = 7, 5
+#: Levels that one round fits; each either splits a node into clearly smaller ones or leaves it whole for good.
+LEVELS = 7
+#: The most that both sides of a split may hold, as a multiple of the node, and the most copies along a path of splits.
+STALL, COPIES = 1.4, 8.0
+#: Sampled vectors of a node that suffice to leave it whole for good; with fewer, the next round samples it again.
+SURE = 256
 #: Half the width of the spilling zone, as a share of a threshold pair's deviation along a random direction.
 SPILL = 0.3
 #: Rows of a block of the comparison within a leaf, and links of which shared leaves are looked up at once.
 BLOCK, PAIRS = 512, 20_000
+#: Most vectors of a leaf that one task compares, and of each of two blocks of a larger leaf.
+ROWS = 4096
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _grow(x: np.ndarray, levels: int, margin: float, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(directions, thresholds) of a complete tree in heap order, fitted on x."""
+def _grow(x: np.ndarray, levels: int, margin: float, r: np.random.Generator, grown: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(directions, thresholds, copies of each leaf) of a complete tree in heap order, fitted on x, which is a whole node or a sample.
+
+    A node that stays whole has infinite thresholds, which send all to the left; its copies are infinite if that is for good.
+    """
     n = (1 << levels) - 1
     directions = r.normal(size=(n, x.shape[1]))
     directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    thresholds, held = np.zeros(n), {0: np.arange(len(x))}
+    thresholds, held, copies = np.zeros(n), {0: np.arange(len(x))}, np.full(2 * n + 1, grown)
     for k in range(n):
-        p = x[held[k]] @ directions[k] if len(held.get(k, ())) else np.zeros(0)
-        if len(p):
-            thresholds[k] = np.median(p)
-            held[2 * k + 1], held[2 * k + 2] = held[k][p <= thresholds[k] + margin], held[k][p >= thresholds[k] - margin]
-    return directions, thresholds
+        at = held.get(k, np.zeros(0, np.int64))
+        copies[[2 * k + 1, 2 * k + 2]] = copies[k]
+        if not len(at):
+            continue
+        if k and np.isinf(thresholds[(k - 1) // 2]):
+            thresholds[k], held[2 * k + 1] = np.inf, at
+            continue
+        p = x[at] @ directions[k]
+        thresholds[k] = np.median(p)
+        low, high = at[p <= thresholds[k] + margin], at[p >= thresholds[k] - margin]
+        growth = (len(low) + len(high)) / len(at)
+        if growth > STALL or copies[k] * growth > COPIES:
+            thresholds[k], held[2 * k + 1] = np.inf, at
+            if whole or len(at) >= SURE:
+                copies[2 * k + 1] = np.inf
+            continue
+        held[2 * k + 1], held[2 * k + 2] = low, high
+        copies[[2 * k + 1, 2 * k + 2]] = copies[k] * max(1.0, growth)
+    return directions, thresholds, copies[n:]
+
+
+def _large(rows: DataFrame, least: int) -> DataFrame:
+    """(node, dim, count, grown) of nodes above that many vectors that may still be split."""
+    return rows.groupBy("node", "dim").agg(F.count("*").alias("count"), F.max("grown").alias("grown")).where((F.col("count") > least) & (F.col("grown") <= COPIES))
 
 
 def _split(rows: DataFrame, margin: float, turn: int) -> DataFrame:
     """Replaces each node that is too large by the leaves of a tree fitted on a sample of it."""
-    sizes = rows.groupBy("node", "dim").count().where(F.col("count") > LEAF)
-    picked = rows.join(sizes, ["node", "dim"]).where(F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 30)) / (1 << 30) < SAMPLE / F.col("count"))
+    picked = rows.drop("grown").join(_large(rows, LEAF), ["node", "dim"]).where(F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 30)) / (1 << 30) < SAMPLE / F.col("count"))
 
     def fit(keys: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         x = _vectors(group.column("vec"))
         levels = max(1, min(LEVELS, math.ceil(math.log2(group.column("count")[0].as_py() / LEAF)), int(math.log2(max(2, len(x) / 16)))))
         r = np.random.default_rng(zlib.crc32(f"{keys[0]}:{turn}".encode()))
         by = np.lexsort(x.T[::-1])  # whatever order the rows came in
-        directions, thresholds = _grow(x[by], levels, margin / math.sqrt(x.shape[1]), r)
-        return pa.table({"node": [keys[0].as_py()], "dim": [keys[1].as_py()], "directions": [directions.ravel().tolist()], "thresholds": [thresholds.tolist()]}, schema=pa.schema([("node", pa.int64()), ("dim", pa.int32()), ("directions", pa.list_(pa.float64())), ("thresholds", pa.list_(pa.float64()))]))
+        whole = group.column("count")[0].as_py() <= len(x)
+        directions, thresholds, copies = _grow(x[by], levels, margin / math.sqrt(x.shape[1]), r, group.column("grown")[0].as_py(), whole)
+        lists = {"directions": directions.ravel(), "thresholds": thresholds, "copies": copies}
+        return pa.table({"node": [keys[0].as_py()], "dim": [keys[1].as_py()]} | {k: [v.tolist()] for k, v in lists.items()}, schema=pa.schema([("node", pa.int64()), ("dim", pa.int32()), *((k, pa.list_(pa.float64())) for k in lists)]))
 
-    trees = table(picked.select("node", "dim", "vec", "count").groupBy("node", "dim").applyInArrow(fit, "node long, dim int, directions array<double>, thresholds array<double>"), "trees")
+    trees = table(picked.select("node", "dim", "vec", "count", "grown").groupBy("node", "dim").applyInArrow(fit, "node long, dim int, directions array<double>, thresholds array<double>, copies array<double>"), "trees")
 
     def descend(keys: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
-            return left.select(["rep", "m", "dim", "node", "vec"])
+            return left.select(["rep", "m", "dim", "node", "grown", "vec"])
         x, w, t = _vectors(left.column("vec")), np.array(right.column("directions")[0].as_py()), np.array(right.column("thresholds")[0].as_py())
         w, near = w.reshape(len(t), -1), margin / math.sqrt(x.shape[1])
         row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
@@ -78,13 +110,14 @@ def _split(rows: DataFrame, margin: float, turn: int) -> DataFrame:
             p = np.einsum("ij,ij->i", x[row], w[at]) - t[at]
             low, high = p <= near, p >= -near
             row, at = np.concatenate([row[low], row[high]]), np.concatenate([2 * at[low] + 1, 2 * at[high] + 2])
-        out = left.take(pa.array(row)).select(["rep", "m", "dim", "node", "vec"])
+        out = left.take(pa.array(row)).select(["rep", "m", "dim", "node", "grown", "vec"])
+        out = out.set_column(4, "grown", pa.array(np.array(right.column("copies")[0].as_py())[at - len(t)], pa.float64()))
         return out.set_column(3, "node", pa.array(out.column("node").to_numpy() * (2 << LEVELS) + at + 1, pa.int64()))
 
     # a large node is dealt over salts, each with its tree
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(64)).cast("int"))
     many = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return salted.groupBy("node", "dim", "salt").cogroup(many.groupBy("node", "dim", "salt")).applyInArrow(descend, "rep long, m long, dim int, node long, vec array<double>")
+    return salted.groupBy("node", "dim", "salt").cogroup(many.groupBy("node", "dim", "salt")).applyInArrow(descend, "rep long, m long, dim int, node long, grown double, vec array<double>")
 
 
 def _compare(least: float):
@@ -137,6 +170,65 @@ def _compare(least: float):
     return compare
 
 
+def _between(least: float):
+    def between(keys: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        """Two blocks of a leaf, or one with itself."""
+        leaf, group = keys[0].as_py(), group.sort_by([("side", "ascending"), ("rep", "ascending")])
+        side, m = group.column("side").to_numpy(), group.column("m").to_numpy().astype(np.float64)
+        x, n = _vectors(group.column("vec")), int((side == 0).sum())
+        alone = n == len(x)
+        right = slice(0, n) if alone else slice(n, len(x))
+        lists = [[y for y in z if y < leaf] for z in group.column("leaves").to_pylist()]
+        ids = {y: k for k, y in enumerate(sorted({y for z in lists[:n] for y in z} & {y for z in lists[right] for y in z}))}
+        member = np.zeros((len(x), len(ids)), np.float32)
+        for k, z in enumerate(lists):
+            member[k, [ids[y] for y in z if y in ids]] = 1
+        links, label, near = np.zeros(len(x)), np.arange(len(x)), np.zeros((n, right.stop - right.start), bool)
+        for i in range(0, n, BLOCK):
+            rows = slice(i, min(n, i + BLOCK))
+            near[rows] = x[rows] @ x[right].T >= least
+            if alone:
+                near[np.arange(i, rows.stop), np.arange(i, rows.stop)] = False
+            new = near[rows] & (member[rows] @ member[right].T < 0.5) if ids else near[rows]
+            links[rows] += new @ m[right]
+            if not alone:
+                links[right] += m[rows] @ new
+        while True:  # the smallest position that links reach
+            new = label.copy()
+            for i in range(0, n, BLOCK):
+                rows, some = slice(i, min(n, i + BLOCK)), near[i : i + BLOCK]
+                new[rows] = np.minimum(new[rows], np.where(some, new[right][None, :], len(x)).min(axis=1, initial=len(x)))
+                new[right] = np.minimum(new[right], np.where(some, new[rows][:, None], len(x)).min(axis=0))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        rep = group.column("rep").to_numpy()
+        some = (links > 0) | (label != np.arange(len(x)))
+        return pa.table({"rep": rep[some], "links": links[some].astype(np.int64), "root": rep[label][some]}, schema=pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
+
+    return between
+
+
+def _blocked(rows: DataFrame, least: float) -> DataFrame:
+    """(rep, links, root) of leaves too large for one task: a group for each pair of blocks.
+
+    A block holds vectors of one pool: those of the same smallest leaf, if they are many, or the rest. Pairs within a pool
+    of another leaf than this one have been counted there.
+    """
+    rows = table(rows.withColumn("first", F.array_min("leaves")), "large")
+    many = rows.groupBy("node", "dim", "first").count().where(F.col("count") >= ROWS).select("node", "dim", "first", F.col("first").alias("pool"))
+    rows = rows.join(F.broadcast(many), ["node", "dim", "first"], "left").withColumn("pool", F.coalesce("pool", F.lit(-1).cast("long")))
+    pools = table(rows.groupBy("node", "dim", "pool").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("cut")), "pools")
+    cells = pools.select("node", "dim", "pool", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("salt")).withColumn("cell", F.struct("pool", "salt"))
+    a, b = (cells.select("node", "dim", F.col("cell").alias(x)) for x in "ab")
+    pairs = a.join(b, ["node", "dim"]).where("a <= b and (a.pool != b.pool or a.pool in (-1, node))")
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("cell")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("cell")), F.struct(F.lit(1).alias("side"), F.col("b").alias("cell"))))
+    sides = pairs.select("node", "dim", "a", "b", F.inline(sides)).select("node", "dim", F.xxhash64("a", "b").alias("pair"), "side", F.col("cell.pool").alias("pool"), F.col("cell.salt").alias("salt"))
+    cut = rows.join(F.broadcast(pools), ["node", "dim", "pool"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+    return cut.join(sides, ["node", "dim", "pool", "salt"]).select("rep", "m", "dim", "node", "vec", "leaves", "pair", "side").groupBy("node", "dim", "pair").applyInArrow(_between(least), "rep long, links long, root long")
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id) of every row."""
     spark = vectors.sparkSession
@@ -149,19 +241,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     same = F.xxhash64("vec")
     classes = rows.where("ok and id is not null").groupBy(same.alias("h"), "vec").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     classes = table(classes.select("rep", "m", F.size("vec").alias("dim"), "vec"), "classes")
-    nodes = classes.select("rep", "m", "dim", F.explode(F.sequence(F.lit(1), F.lit(TREES)).cast("array<long>")).alias("node"), "vec")
+    nodes = classes.select("rep", "m", "dim", F.explode(F.sequence(F.lit(1), F.lit(TREES)).cast("array<long>")).alias("node"), F.lit(1.0).alias("grown"), "vec")
     margin = SPILL * math.sqrt(max(0.0, 2 - 2 * least))
-    for turn in range(ROUNDS):
+    turn = 0
+    while True:
         nodes = table(nodes, "nodes")
-        large = nodes.groupBy("node", "dim").count().where(F.col("count") > LEAF * (1 if not turn else 4))
-        if large.isEmpty():
+        if _large(nodes, LEAF * (1 if not turn else 4)).isEmpty():
             break
-        nodes = _split(nodes, margin, turn)
-    else:
-        nodes = table(nodes, "nodes")
+        nodes, turn = _split(nodes, margin, turn), turn + 1
     leaves = nodes.groupBy("rep").agg(F.collect_set("node").alias("leaves"))  # some for each tree
-    found = nodes.join(leaves, "rep").groupBy("node", "dim").applyInArrow(_compare(least), "rep long, links long, root long")
+    large = table(nodes.groupBy("node", "dim").count().where(F.col("count") > ROWS).select("node", "dim"), "sizes")
+    members = nodes.drop("grown").join(leaves, "rep")
+    found = members.join(F.broadcast(large), ["node", "dim"], "left_anti").groupBy("node", "dim").applyInArrow(_compare(least), "rep long, links long, root long")
     found = table(found, "found")
+    if not large.isEmpty():
+        found = found.union(table(_blocked(members.join(F.broadcast(large), ["node", "dim"], "left_semi"), least), "found"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(classes.select(F.col("rep").alias("id")), found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors-cc")
     of_class = classes.select("rep", "m", "vec").join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep")
