@@ -36,3 +36,17 @@ def test_query(spark, sf):
     assert got.keys() == texts.keys() and any(x.n_licenses for x in got.values())
     for i, t in texts.items():
         assert all(n in got[i].licenses for n, x in notices.items() if f"\n{x}" in t) and (got[i].n_licenses > 0) == (got[i].licenses != "")
+
+
+def test_licenses_like_others():
+    s = L.Scanner(L.TEMPLATES, 0.8)
+    found = lambda t: [x[0] for x in s.scan(t)]
+    assert all(found(f"x {t} y") == [n] for n, t in L.TEMPLATES.items())
+    assert found("Released under the BSD License.") == ["BSD-notice"] and found("Licensed under CC BY 4.0.") == ["CC-BY-4.0-notice"]
+    assert found("Licensed under the Mozilla License, Version 2.0.") == [] and found("Released under the XYZ License.") == []
+    assert found(L.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 9")) == []
+    assert found("Licensed under the Apache License 2.0") == ["Apache-2.0-notice"] and found("Released under the terms of the MIT License") == ["MIT-notice"]
+    both = found(f"{L.TEMPLATES['Apache-2.0-header']} and then {'x ' * 20} {L.TEMPLATES['Apache-2.0-notice']}")
+    assert sorted(both) == ["Apache-2.0-header", "Apache-2.0-notice"]
+    words = L.TEMPLATES["ISC"].split()
+    assert found(" ".join(f"{w} # *" for w in ["z"] * 25 + words)) == ["ISC"]

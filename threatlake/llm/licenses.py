@@ -5,7 +5,9 @@ longest increasing subsequence of their places is kept, and the gaps between anc
 no anchor is left, equal beginnings and ends of the gap are matched. Coverage is the share of the template's words that
 are matched. Only templates of which the text holds enough words, counted with repetition, are aligned at all, which is
 an upper bound of the coverage and so loses none; in long texts that holds for each window of twice the template's
-length, every half window, so a license is found wherever it stands and however often.
+length, every half window, and of four times its length for texts with gaps, so a license is found wherever it stands
+and however often. The words that tell a template from others like it (`KEYS`: name, version, conditions) must be matched
+side by side. Of templates that match the same words only the best is reported: that with most words matched.
 
 Null texts and texts without words have no licenses. Repeated rows give repeated results, an empty table an empty one;
 columns other than the key and the text are ignored.
@@ -13,6 +15,7 @@ columns other than the key and the text are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -42,6 +45,32 @@ TEMPLATES = {
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
 }
+TEMPLATES |= {
+    "AGPL-3.0-header": TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Affero General"),
+    "AGPL-3.0-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Affero General"),
+    "BSD-notice": "Released under the BSD License.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0-header": TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"),
+    "GPL-2.0-notice": TEMPLATES["GPL-3.0-notice"].replace("version 3", "version 2"),
+    "LGPL-3.0-header": TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Lesser General"),
+    "LGPL-3.0-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Lesser General"),
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+}
+#: Words of a template that a text must have side by side, each phrase at one of its places at least.
+KEYS = {
+    "Apache-2.0-notice": ["apache license", "2.0"],
+    "Apache-2.0-header": ["apache license", "2.0"],
+    "BSD-notice": ["bsd license"],
+    "CC-BY-4.0": ["commons attribution 4.0"],
+    "CC-BY-4.0-notice": ["cc by 4.0"],
+    "CC-BY-NC-4.0": ["by-nc 4.0"],
+    "CC-BY-SA-4.0": ["attribution-sharealike 4.0"],
+    "CC-BY-SA-4.0-notice": ["by-sa 4.0"],
+    "MIT-notice": ["mit license"],
+    "MPL-2.0": ["mozilla public license"],
+    "MPL-2.0-notice": ["mozilla public license", "2.0"],
+} | {f"{n}-{v}.0-{k}": [f"gnu{w} general public license", f"version {v}"] for n, v, w in (("AGPL", 3, " affero"), ("GPL", 2, ""), ("GPL", 3, ""), ("LGPL", 3, " lesser")) for k in ("notice", "header")}
 _EDGES = ".,;:()[]\"'*#/-"
 
 
@@ -49,8 +78,14 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+_version = re.compile(r"v?([0-9]+)(?:\.0)?").fullmatch
+
+
 def normal(word: str) -> str:
-    return word.strip(_EDGES)
+    """The word without marks at its ends; version 2.0 is 2."""
+    word = word.strip(_EDGES)
+    m = _version(word)
+    return m[1] if m else word
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,10 +142,17 @@ class Scanner:
         self.ids = {w: i for i, w in enumerate(vocabulary)}
         self.templates = [[self.ids[w] for w in t] for t in self.templates]
         self.bags = np.array([np.bincount(t, minlength=len(vocabulary)) for t in self.templates])
+        self.keys = []  # for each template and phrase, the places of the phrase
+        for name, t in zip(self.names, self.templates, strict=True):
+            phrases = [[self.ids.get(normal(w), -1) for w in p.split()] for p in KEYS.get(name, ())] if templates.get(name) == TEMPLATES.get(name) else []
+            self.keys.append([[range(i, i + len(p)) for i in range(len(t)) if t[i : i + len(p)] == p] for p in phrases])
         self.needed = np.array([least * len(t) for t in self.templates])
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, after the last word) of every template covered enough; the best place of each."""
+        """(license, coverage, first word, after the last word) of every template covered enough; the best place of each.
+
+        The template with most words matched comes first, and its words are out of the others' reach.
+        """
         raw = words(text)
         seen = {}
         for w in set(raw):
@@ -120,24 +162,41 @@ class Scanner:
         if not seen:
             return []
         some = np.unique(list(seen.values()))
-        out = []
-        ids = None
-        for k in np.flatnonzero(self.bags[:, some].sum(axis=1) >= self.needed).tolist():
-            if ids is None:
-                get = seen.get
-                ids = np.array([get(w, -1) for w in raw], np.int64)
-            best = self._place(k, ids)
-            if best and best[0] >= self.least:
-                out.append((self.names[k], *best))
-        return out
-
-    def _place(self, k: int, ids: np.ndarray) -> tuple[float, int, int] | None:
+        todo = np.flatnonzero(self.bags[:, some].sum(axis=1) >= self.needed).tolist()
+        if not todo:
+            return []
+        get = seen.get
+        ids = np.array([get(w, -1) for w in raw], np.int64)
+        filled = np.concatenate(([0], np.cumsum([normal(w) != "" for w in raw])))
+        places = {k: best for k in todo if (best := self._place(k, ids, filled))}
+        out = {}
+        while places:
+            k = max(places, key=lambda k: (round(places[k][0] * len(self.templates[k])), places[k][0], -k))
+            out[k] = _, start, end = places.pop(k)
+            ids[start:end] = -1
+            for x in [x for x, (_, a, b) in places.items() if a < end and start < b]:
+                if best := self._place(x, ids, filled):
+                    places[x] = best
+                else:
+                    del places[x]
+        return [(self.names[k], *out[k]) for k in sorted(out)]
+
+    def _told(self, k: int, pairs: list[tuple[int, int]], start: int, filled: np.ndarray) -> bool:
+        """Whether each key phrase is matched somewhere without other words in between."""
+        at = dict(pairs)
+        side_by_side = lambda p: all(i in at for i in p) and filled[start + at[p[-1]]] - filled[start + at[p[0]]] == len(p) - 1
+        return all(any(map(side_by_side, phrase)) for phrase in self.keys[k])
+
+    def _place(self, k: int, ids: np.ndarray, filled: np.ndarray) -> tuple[float, int, int] | None:
         template, bag, n = self.templates[k], self.bags[k], len(self.templates[k])
         mine = (ids >= 0) & (bag[ids] > 0)
         before = np.concatenate(([0], np.cumsum(mine)))
-        starts = np.arange(0, max(1, len(ids) - n), n)  # windows of 2 n, every n
-        ends = np.minimum(starts + 2 * n, len(ids))
-        ends[-1] = len(ids)
+        # windows of 2 n and of 4 n, every n
+        starts = [np.arange(0, max(1, len(ids) - n), n), np.arange(0, max(1, len(ids) - 3 * n), n)]
+        ends = [np.minimum(s + width * n, len(ids)) for s, width in zip(starts, (2, 4), strict=True)]
+        for e in ends:
+            e[-1] = len(ids)
+        starts, ends = np.concatenate(starts), np.concatenate(ends)
         best = None
         for s in np.flatnonzero(before[ends] - before[starts] >= self.needed[k]).tolist():
             window = ids[starts[s] : ends[s]]
@@ -145,7 +204,7 @@ class Scanner:
             if np.minimum(held, bag).sum() < self.needed[k]:
                 continue
             pairs = align(template, [x if x >= 0 else None for x in window.tolist()])
-            if pairs and (best is None or len(pairs) / n > best[0]):
+            if len(pairs) >= self.needed[k] and (best is None or len(pairs) / n > best[0]) and self._told(k, pairs, int(starts[s]), filled):
                 best = (len(pairs) / n, int(starts[s]) + pairs[0][1], int(starts[s]) + pairs[-1][1] + 1)
         return best
 
