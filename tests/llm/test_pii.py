@@ -61,3 +61,13 @@ def test_query(spark, sf):
     for x in got:
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in contract(texts[x.doc_id]))
         assert x.spans.startswith(base) and x.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_more_patterns_than_a_slice(spark, monkeypatch):
+    rows = [(100 * k + i, f"the {i} key{k}: u{k}x{i}@mail.org") for k in range(12) for i in range(30)] + [(5000 + k, f"one key{k}: QX{k}-77Z") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: {(x.doc_id, x.spans) for x in P.personal_data(df).collect()}
+    whole = found()
+    assert sum("other" in s for _, s in whole) == 12
+    monkeypatch.setattr(P, "PATTERNS", 3)
+    assert found() == whole

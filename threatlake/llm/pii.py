@@ -2,7 +2,7 @@
 
 The base finds e-mail addresses, IP addresses, payment cards and phone numbers by their form. These are the seeds of a
 bootstrap: the words beside them are contexts, and contexts of at least `SEEDS` different seeds become patterns. All
-texts are read for how often each pattern's words occur, and which identifier-like tokens without a base span stand in
+texts are read, once for each slice of `PATTERNS` patterns, for how often each pattern's words occur, and which identifier-like tokens without a base span stand in
 a pattern. On this graph of patterns and instances Spark iterates: a pattern is as good as the share of its occurrences
 that hold good instances, an instance is as good as its patterns together. Tokens in patterns of at least `CONFIDENCE`
 become spans of the kind `other`; base spans are never changed.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from threatlake.llm.common import read, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Seeds that a context needs, patterns that are broadcast at most (the best supported), rounds, and the confidence that discovers.
+#: Seeds that a context needs, patterns that are broadcast at once (more take more scans), rounds, and the confidence that discovers.
 SEEDS, PATTERNS, ROUNDS, CONFIDENCE = 5, 1 << 16, 3, 0.6
 LONGEST = 40
 
@@ -106,17 +106,14 @@ def _base(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, h long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base string, seeds array<struct<pattern: string, instance: string>>")
 
 
-def _patterns(seeds: DataFrame) -> list[str]:
-    """Contexts of enough different seeds; if there are more than PATTERNS, those above a higher number of seeds."""
+def _patterns(seeds: DataFrame) -> Iterator[list[str]]:
+    """All contexts of enough different seeds, in slices of about PATTERNS."""
     support = table(seeds.distinct().groupBy("pattern").count().where(F.col("count") >= SEEDS), "support")
-    step = F.floor(F.log2("count") * 8)
-    total, least = 0, None
-    for r in sorted(support.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        total += r["n"]
-        if total > PATTERNS:
-            break
-        least = r["step"]
-    return [] if least is None else [r["pattern"] for r in support.where(step >= least).toLocalIterator()]
+    slices = -(-support.count() // PATTERNS)
+    for k in range(slices):
+        found = [r["pattern"] for r in support.where(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == k).select("pattern").toLocalIterator()]
+        if found:
+            yield found
 
 
 def _scan(rows: DataFrame, patterns: list[str]) -> DataFrame:
@@ -195,10 +192,12 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = _keyed(docs, key, text)
     base = table(_base(rows), "base")
     seeds = base.select(F.inline("seeds"))
-    patterns = _patterns(seeds)
+    scan = None
+    for patterns in _patterns(seeds):
+        part = table(_scan(rows, patterns), "scan")
+        scan = part if scan is None else scan.union(part)
     out = base.drop("seeds")
-    if patterns:
-        scan = table(_scan(rows, patterns), "scan")
+    if scan is not None:
         more = scan.where("n is null").join(_confident(seeds, scan), "pattern").select("id", "h", "start", "end").distinct()
         more = more.groupBy("id", "h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda x: F.concat(F.lit("other:"), x["start"], F.lit(":"), x["end"])), ",").alias("more"))
         more = more.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "more")
