@@ -57,7 +57,35 @@ def test_tight_group_is_not_copied(spark, monkeypatch):
     monkeypatch.setattr(N, "ROWS", 200)
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
     got = {y.vec_id: (y.n_links, y.component_id) for y in N.near_vectors(df).collect()}
-    assert max(n for name, n in written if name == "nodes") <= 1.3 * N.TREES * len(x)
+    assert max(n for name, n in written if name == "placed") == len(x)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     true = (u @ u.T >= 0.9).sum(axis=1) - 1
     assert true[:900].min() > 800 and all(got[i] == (true[i], 0) for i in range(900)) and all(got[i][0] <= true[i] for i in range(900, 1200))
+
+
+def test_rounds_and_shuffled_descent(spark, monkeypatch):
+    """Several rounds with small leaves, and trees too large to broadcast."""
+    x, u = data(), np.array(data(), float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>").repartition(3)
+    for spread in (N.SPREAD, 0):
+        monkeypatch.setattr(N, "LEAF", 16)
+        monkeypatch.setattr(N, "LEVELS", 2)
+        monkeypatch.setattr(N, "SPREAD", spread)
+        got = {r.vec_id: r.n_links for r in N.near_vectors(df).collect()}
+        found = np.array([got[i] for i in range(len(x))])
+        assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
+
+
+def test_equal_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rep", "'x' as leaves")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in N.near_vectors(df).collect())
+    assert got == [("1", 1, "1"), ("1", 1, "1"), ("2", 1, "1"), ("3", 1, "1"), ("None", 0, "None")]
+
+
+def test_tie_at_the_threshold(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.5, 0.5]), (4, [0.59, -0.81])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in N.near_vectors(df, least=0.6).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 0}

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +27,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one if that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or what setCheckpointDir() was given."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile  # one machine: driver and tasks share all folders
+
+    spark.sparkContext.setCheckpointDir(base := tempfile.mkdtemp(prefix="spark-"))
     return base
 
 
+#: Where written tables lie, while something refers to them.
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Lets Spark remove a query's shuffle files at its end, instead of when the driver's heap is next collected.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df as a written Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that table() wrote and nothing reads any more; other frames are left alone."""
+    for t in tables:
+        path = _paths.pop(t, None)
+        if path:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def remainder(key: str, n: int) -> Column:
@@ -70,7 +98,8 @@ def components(vertices: DataFrame, edges: DataFrame, name: str = "cc") -> DataF
             .union(lows.select("a", F.col("m").alias("b")))
             .where("a != b").distinct()
         )
-        cur = table(small, name)
+        last, cur = cur, table(small, name)
+        drop(last)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -3,16 +3,19 @@
 Each of `TREES` trees splits the vectors by the median projection on a random direction, again and again, until a leaf
 holds few; vectors near a split go to both sides (spill). Splits are fitted on a bounded sample of each node (`SAMPLE`
 expected rows by hash), every vector then descends them. A round refines all nodes that are still too large, several
-levels at once. A node stays whole if a split sends too many vectors to both sides (`STALL`), or if the splits above it
-have made too many copies already (`COPIES`), as in a tight group of distinct vectors. Within a leaf all vectors are
-compared exactly, in double precision, so no link below the threshold is returned; recall depends on the forest (tests
-measure it). A leaf of more than `ROWS` vectors is cut into blocks, and each pair of blocks is a group of its own. A
-pair that shares several leaves counts in the smallest of their numbers only, so leaves give sums of links and
-connecting edges, never lists of all pairs.
-
-Equal vectors are one class from the start. Vectors that are null, empty, zero or hold null or non-finite components
-link with nothing, and vectors of different lengths are not compared. Rows with equal ids count as vectors of their own.
-An empty table gives an empty result; columns other than the key and the vector are ignored.
+levels at once; its trees are broadcast while they are small (`SPREAD`), and else meet their vectors in a shuffle. A
+node stays whole if a split sends too many vectors to both sides (`STALL`), or if the splits above it have made too many
+copies already (`COPIES`), as in a tight group of distinct vectors. Within a leaf all vectors are compared exactly, in
+double precision, so no link below the threshold is returned; recall depends on the forest (tests measure it). A leaf of
+more than `ROWS` vectors is cut into blocks, and each pair of blocks is a group of its own. A pair that shares several
+leaves counts in the smallest of their numbers only, so leaves give sums of links and connecting edges, never lists of
+all pairs. A vector carries the list of its leaves and is sent once to each of them.
+
+Equal vectors are one class from the start, known by a number given to it when the table of classes is written. Vectors
+that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of different lengths are
+not compared. Rows with equal ids count as vectors of their own, each with the links and the component of its own vector;
+rows without an id link with nothing. An empty table gives an empty result; columns other than the key and the vector are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from threatlake.llm.common import components, read, table
+from threatlake.llm.common import components, drop, read, table
 
-TREES, LEAF, SAMPLE = 7, 256, 4096
+TREES, LEAF, SAMPLE = 5, 512, 4096
 #: Levels that one round fits; each either splits a node into clearly smaller ones or leaves it whole for good.
 LEVELS = 7
 #: The most that both sides of a split may hold, as a multiple of the node, and the most copies along a path of splits.
@@ -37,17 +41,38 @@ STALL, COPIES = 1.4, 8.0
 SURE = 256
 #: Half the width of the spilling zone, as a share of a threshold pair's deviation along a random direction.
 SPILL = 0.3
-#: Rows of a block of the comparison within a leaf, and links of which shared leaves are looked up at once.
-BLOCK, PAIRS = 512, 20_000
+#: Numbers in the trees of a round that are broadcast (8 bytes each).
+SPREAD = 4 << 20
+#: Rows of a block of the comparison within a leaf.
+BLOCK = 512
 #: Most vectors of a leaf that one task compares, and of each of two blocks of a larger leaf.
 ROWS = 4096
 
 
+def _scaled(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors in double precision, divided by powers of two (which is exact), so that huge or tiny ones don't overflow when squared."""
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+    """Vectors of length one."""
+    x = _scaled(column)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of all pairs; one division, so that exact ties stay ties."""
+    return x @ y.T / np.sqrt(np.multiply.outer(np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)))
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all values of a column of lists of numbers."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+
+
 def _grow(x: np.ndarray, levels: int, margin: float, r: np.random.Generator, grown: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(directions, thresholds, copies of each leaf) of a complete tree in heap order, fitted on x, which is a whole node or a sample.
 
@@ -79,14 +104,16 @@ def _grow(x: np.ndarray, levels: int, margin: float, r: np.random.Generator, gro
     return directions, thresholds, copies[n:]
 
 
-def _large(rows: DataFrame, least: int) -> DataFrame:
+def _large(placed: DataFrame, least: int) -> DataFrame:
     """(node, dim, count, grown) of nodes above that many vectors that may still be split."""
-    return rows.groupBy("node", "dim").agg(F.count("*").alias("count"), F.max("grown").alias("grown")).where((F.col("count") > least) & (F.col("grown") <= COPIES))
+    nodes = placed.select("dim", F.inline("leaves")).groupBy("node", "dim").agg(F.count("*").alias("count"), F.max("grown").alias("grown"))
+    return nodes.where((F.col("count") > least) & (F.col("grown") <= COPIES))
 
 
-def _split(rows: DataFrame, margin: float, turn: int) -> DataFrame:
-    """Replaces each node that is too large by the leaves of a tree fitted on a sample of it."""
-    picked = rows.drop("grown").join(_large(rows, LEAF), ["node", "dim"]).where(F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 30)) / (1 << 30) < SAMPLE / F.col("count"))
+def _fit(placed: DataFrame, large: DataFrame, margin: float, turn: int) -> DataFrame:
+    """(node, dim, directions, thresholds, copies): a tree for each large node, fitted on a sample of it."""
+    within = F.pmod(F.xxhash64("vec", "node"), F.lit(1 << 30)) / (1 << 30) < SAMPLE / F.col("count")
+    picked = placed.select("dim", "vec", F.inline("leaves")).drop("grown").join(large, ["node", "dim"]).where(within)
 
     def fit(keys: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         x = _vectors(group.column("vec"))
@@ -98,74 +125,112 @@ def _split(rows: DataFrame, margin: float, turn: int) -> DataFrame:
         lists = {"directions": directions.ravel(), "thresholds": thresholds, "copies": copies}
         return pa.table({"node": [keys[0].as_py()], "dim": [keys[1].as_py()]} | {k: [v.tolist()] for k, v in lists.items()}, schema=pa.schema([("node", pa.int64()), ("dim", pa.int32()), *((k, pa.list_(pa.float64())) for k in lists)]))
 
-    trees = table(picked.select("node", "dim", "vec", "count", "grown").groupBy("node", "dim").applyInArrow(fit, "node long, dim int, directions array<double>, thresholds array<double>, copies array<double>"), "trees")
-
-    def descend(keys: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return left.select(["rep", "m", "dim", "node", "grown", "vec"])
-        x, w, t = _vectors(left.column("vec")), np.array(right.column("directions")[0].as_py()), np.array(right.column("thresholds")[0].as_py())
-        w, near = w.reshape(len(t), -1), margin / math.sqrt(x.shape[1])
-        row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(int(math.log2(len(t) + 1))):
-            p = np.einsum("ij,ij->i", x[row], w[at]) - t[at]
-            low, high = p <= near, p >= -near
-            row, at = np.concatenate([row[low], row[high]]), np.concatenate([2 * at[low] + 1, 2 * at[high] + 2])
-        out = left.take(pa.array(row)).select(["rep", "m", "dim", "node", "grown", "vec"])
-        out = out.set_column(4, "grown", pa.array(np.array(right.column("copies")[0].as_py())[at - len(t)], pa.float64()))
-        return out.set_column(3, "node", pa.array(out.column("node").to_numpy() * (2 << LEVELS) + at + 1, pa.int64()))
-
-    # a large node is dealt over salts, each with its tree
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(64)).cast("int"))
+    return picked.select("node", "dim", "vec", "count", "grown").groupBy("node", "dim").applyInArrow(fit, "node long, dim int, directions array<double>, thresholds array<double>, copies array<double>")
+
+
+def _leaves(x: np.ndarray, node: int, tree: tuple[np.ndarray, np.ndarray, np.ndarray], margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, copies) of every leaf of a node's tree that a row of x comes to."""
+    w, t, copies = tree
+    w, near = w.reshape(len(t), -1), margin / math.sqrt(x.shape[1])
+    row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for _ in range(int(math.log2(len(t) + 1))):
+        p = np.einsum("ij,ij->i", x[row], w[at]) - t[at]
+        low, high = p <= near, p >= -near
+        row, at = np.concatenate([row[low], row[high]]), np.concatenate([2 * at[low] + 1, 2 * at[high] + 2])
+    return row, node * (2 << LEVELS) + at + 1, copies[at - len(t)]
+
+
+def _descend(placed: DataFrame, trees: DataFrame, margin: float) -> DataFrame:
+    """placed, with each large node in the lists replaced by the leaves of its tree."""
+    size = trees.agg(F.coalesce(F.sum(F.size("directions")), F.lit(0))).first()[0]
+    if size > SPREAD:
+        return _descend_by_shuffle(placed, trees, margin)
+    each = {(r["node"], r["dim"]): tuple(np.array(r[k]) for k in ("directions", "thresholds", "copies")) for r in trees.toLocalIterator()}
+    shared = placed.sparkSession.sparkContext.broadcast(each)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(1).to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = pa.Table.from_batches([b.filter(pa.array(dims == dim))])
+                x, lists = _vectors(part.column("vec")), part.column("leaves").combine_chunks()
+                lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+                row = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+                node, grown = (lists.flatten().field(k).to_numpy() for k in (0, 1))
+                found = []
+                for n in np.unique(node).tolist():
+                    mine = np.flatnonzero(node == n)
+                    if (n, dim) in shared.value:
+                        r, leaf, copies = _leaves(x[row[mine]], n, shared.value[n, dim], margin)
+                        found.append((row[mine][r], leaf, copies))
+                    else:
+                        found.append((row[mine], node[mine], grown[mine]))
+                row, node, grown = (np.concatenate(c) for c in zip(*found, strict=True))
+                by = np.lexsort((node, row))
+                sizes = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(x))))).astype(np.int32)
+                new = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays([pa.array(node[by]), pa.array(grown[by])], ["node", "grown"]))
+                yield pa.RecordBatch.from_arrays([part.column(k).combine_chunks() for k in ("rep", "dim", "m", "vec")] + [new], ["rep", "dim", "m", "vec", "leaves"])
+
+    return placed.mapInArrow(run, placed.schema)
+
+
+def _descend_by_shuffle(placed: DataFrame, trees: DataFrame, margin: float) -> DataFrame:
+    """As _descend; a large node is dealt over salts, each with its tree."""
+
+    def run(keys: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        node, grown = left.column("node").to_numpy(), left.column("grown").to_numpy()
+        row = np.arange(len(node))
+        if left.num_rows and right.num_rows:
+            tree = tuple(np.array(right.column(k)[0].as_py()) for k in ("directions", "thresholds", "copies"))
+            row, node, grown = _leaves(_vectors(left.column("vec")), keys[0].as_py(), tree, margin)
+        return pa.table({"rep": left.column("rep").to_numpy()[row], "node": node, "grown": grown}, schema=pa.schema([("rep", pa.int64()), ("node", pa.int64()), ("grown", pa.float64())]))
+
+    salted = placed.select("rep", "dim", "vec", F.inline("leaves")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int"))
     many = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return salted.groupBy("node", "dim", "salt").cogroup(many.groupBy("node", "dim", "salt")).applyInArrow(descend, "rep long, m long, dim int, node long, grown double, vec array<double>")
+    found = salted.groupBy("node", "dim", "salt").cogroup(many.groupBy("node", "dim", "salt")).applyInArrow(run, "rep long, node long, grown double")
+    lists = found.groupBy("rep").agg(F.collect_list(F.struct("node", "grown")).alias("leaves"))  # some for each tree
+    return placed.drop("leaves").join(lists, "rep").select(placed.columns)
+
+
+def _labels(near, n: int, rows: int) -> np.ndarray:
+    """The smallest position that links reach from each position; near(i) gives the links of the block at i."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        for i in range(0, n, rows):
+            new[i : i + rows] = np.minimum(label[i : i + rows], np.where(near(i), label[None, :], n).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _compare(least: float):
     def compare(keys: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        leaf = keys[0].as_py()
-        group = group.sort_by("rep")
-        x, m = _vectors(group.column("vec")), group.column("m").to_numpy()
-        lists = group.column("leaves").to_pylist()
-        width = max(map(len, lists))
-        # leaves of each vector before this one; different fillers, so that they never agree
-        before = np.array([[y if y < leaf else -1 for y in z] + [-1] * (width - len(z)) for z in lists], np.int64)
-        ids, at = np.unique(before, return_inverse=True)
-        member = np.zeros((len(x), len(ids)), np.float32)
-        member[np.arange(len(x))[:, None], at.reshape(before.shape)] = 1
-        member[:, ids < 0] = 0
-        links, label, small = np.zeros(len(x), np.int64), np.arange(len(x)), len(x) <= 2048
-        kept = []
-
-        def blocks():
-            for i in range(0, len(x), BLOCK):
-                near = x[i : i + BLOCK] @ x.T >= least
-                near[np.arange(near.shape[0]), i + np.arange(near.shape[0])] = False
-                yield i, near
-
-        for i, near in blocks():
-            if small:
-                kept.append((i, near))
-            if (n := int(near.sum())) > PAIRS:  # many links: whether two share an earlier leaf, by a product
-                near = near & (member[i : i + BLOCK] @ member.T < 0.5)
-                links[i : i + near.shape[0]] += near @ m
-                continue
-            a, b = np.nonzero(near) if n else ((), ())
-            for k in range(0, len(a), PAIRS):
-                p, q = a[k : k + PAIRS] + i, b[k : k + PAIRS]
-                u, w = before[p], before[q]
-                seen = ((u[:, :, None] == w[:, None, :]) & (u[:, :, None] >= 0)).any(axis=(1, 2))
-                np.add.at(links, p[~seen], m[q[~seen]])
-        while True:  # the smallest position that links reach
-            new = label.copy()
-            for i, near in kept if small else blocks():
-                new[i : i + near.shape[0]] = np.minimum(label[i : i + near.shape[0]], np.where(near, label[None, :], len(x)).min(axis=1))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        rep = group.column("rep").to_numpy()
-        some = (links > 0) | (label != np.arange(len(x)))
-        return pa.table({"rep": rep[some], "links": links[some], "root": rep[label][some]}, schema=pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
+        schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+        leaf, group = keys[0].as_py(), group.sort_by("rep")
+        x, near = _scaled(group.column("vec")), np.zeros((group.num_rows, group.num_rows), bool)
+        for i in range(0, len(x), BLOCK):
+            near[i : i + BLOCK] = _cosines(x[i : i + BLOCK], x) >= least
+        np.fill_diagonal(near, False)
+        linked = np.flatnonzero(near.any(axis=1))
+        if not len(linked):
+            return schema.empty_table()
+        near, n = near[np.ix_(linked, linked)], len(linked)
+        rep, m = (group.column(k).to_numpy()[linked] for k in ("rep", "m"))
+        # pairs that share a leaf before this one have been counted there
+        row, value = _lists(group.column("leaves").take(pa.array(linked)))
+        row, value = row[value < leaf], value[value < leaf]
+        _, at, times = np.unique(value, return_inverse=True, return_counts=True)
+        row, (_, at) = row[times[at] > 1], np.unique(at[times[at] > 1], return_inverse=True)
+        member = np.zeros((n, int(at.max(initial=-1)) + 1), np.float32)
+        member[row, at] = 1
+        links = np.zeros(n, np.int64)
+        for i in range(0, n, BLOCK):
+            links[i : i + BLOCK] = (near[i : i + BLOCK] & (member[i : i + BLOCK] @ member.T < 0.5)) @ m
+        label = _labels(lambda i: near[i : i + BLOCK], n, BLOCK)
+        some = (links > 0) | (label != np.arange(n))
+        return pa.table({"rep": rep[some], "links": links[some], "root": rep[label][some]}, schema=schema)
 
     return compare
 
@@ -175,21 +240,21 @@ def _between(least: float):
         """Two blocks of a leaf, or one with itself."""
         leaf, group = keys[0].as_py(), group.sort_by([("side", "ascending"), ("rep", "ascending")])
         side, m = group.column("side").to_numpy(), group.column("m").to_numpy().astype(np.float64)
-        x, n = _vectors(group.column("vec")), int((side == 0).sum())
+        x, n = _scaled(group.column("vec")), int((side == 0).sum())
         alone = n == len(x)
         right = slice(0, n) if alone else slice(n, len(x))
-        lists = [[y for y in z if y < leaf] for z in group.column("leaves").to_pylist()]
-        ids = {y: k for k, y in enumerate(sorted({y for z in lists[:n] for y in z} & {y for z in lists[right] for y in z}))}
+        row, value = _lists(group.column("leaves"))
+        ids = np.intersect1d(value[(row < n) & (value < leaf)], value[(row >= right.start) & (value < leaf)])
+        both = np.isin(value, ids)
         member = np.zeros((len(x), len(ids)), np.float32)
-        for k, z in enumerate(lists):
-            member[k, [ids[y] for y in z if y in ids]] = 1
+        member[row[both], np.searchsorted(ids, value[both])] = 1
         links, label, near = np.zeros(len(x)), np.arange(len(x)), np.zeros((n, right.stop - right.start), bool)
         for i in range(0, n, BLOCK):
             rows = slice(i, min(n, i + BLOCK))
-            near[rows] = x[rows] @ x[right].T >= least
+            near[rows] = _cosines(x[rows], x[right]) >= least
             if alone:
                 near[np.arange(i, rows.stop), np.arange(i, rows.stop)] = False
-            new = near[rows] & (member[rows] @ member[right].T < 0.5) if ids else near[rows]
+            new = near[rows] & (member[rows] @ member[right].T < 0.5) if len(ids) else near[rows]
             links[rows] += new @ m[right]
             if not alone:
                 links[right] += m[rows] @ new
@@ -231,38 +296,39 @@ def _blocked(rows: DataFrame, least: float) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id) of every row."""
-    spark = vectors.sparkSession
-    kind = vectors.schema[key].dataType
+    kind = vectors.schema[vector].dataType
+    plain = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
     ok = F.expr("size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x != 0)")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).withColumn("ok", F.coalesce(ok, F.lit(False)))
-    # a huge or tiny vector must not overflow when squared
-    scaled = F.expr("transform(vec, x -> x / array_max(transform(vec, y -> abs(y))))")
-    rows = table(rows.select("id", "ok", F.when(F.col("ok"), scaled).alias("vec")), "vectors")
+    rows = vectors.select(F.col(key).alias("id"), (F.col(vector) if plain else F.col(vector).cast("array<double>")).alias("vec"))
+    rows = rows.withColumn("ok", F.coalesce(ok & F.col("id").isNotNull(), F.lit(False)))
     same = F.xxhash64("vec")
-    classes = rows.where("ok and id is not null").groupBy(same.alias("h"), "vec").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
-    classes = table(classes.select("rep", "m", F.size("vec").alias("dim"), "vec"), "classes")
-    nodes = classes.select("rep", "m", "dim", F.explode(F.sequence(F.lit(1), F.lit(TREES)).cast("array<long>")).alias("node"), F.lit(1.0).alias("grown"), "vec")
-    margin = SPILL * math.sqrt(max(0.0, 2 - 2 * least))
-    turn = 0
+    classes = rows.where("ok").groupBy(same.alias("h"), "vec").agg(F.min("id").alias("least"), F.count("*").alias("m"))
+    # the number holds once the table is written
+    classes = table(classes.select(F.monotonically_increasing_id().alias("rep"), F.size("vec").alias("dim"), "m", "vec", "h", "least"), "classes")
+    roots = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda k: F.struct(k.cast("long").alias("node"), F.lit(1.0).alias("grown")))
+    placed, margin, turn = classes.select("rep", "dim", "m", "vec", roots.alias("leaves")), SPILL * math.sqrt(max(0.0, 2 - 2 * least)), 0
     while True:
-        nodes = table(nodes, "nodes")
-        if _large(nodes, LEAF * (1 if not turn else 4)).isEmpty():
+        large = table(_large(placed, LEAF * (1 if not turn else 4)), "large")
+        if large.isEmpty():
             break
-        nodes, turn = _split(nodes, margin, turn), turn + 1
-    leaves = nodes.groupBy("rep").agg(F.collect_set("node").alias("leaves"))  # some for each tree
-    large = table(nodes.groupBy("node", "dim").count().where(F.col("count") > ROWS).select("node", "dim"), "sizes")
-    members = nodes.drop("grown").join(leaves, "rep")
-    found = members.join(F.broadcast(large), ["node", "dim"], "left_anti").groupBy("node", "dim").applyInArrow(_compare(least), "rep long, links long, root long")
-    found = table(found, "found")
-    if not large.isEmpty():
-        found = found.union(table(_blocked(members.join(F.broadcast(large), ["node", "dim"], "left_semi"), least), "found"))
+        trees = table(_fit(placed, large, margin, turn), "trees")
+        before, placed, turn = placed, table(_descend(placed, trees, margin), "placed"), turn + 1
+        drop(before, large, trees)
+    members = placed.withColumn("leaves", F.col("leaves.node")).select("rep", "dim", "m", "vec", "leaves", F.explode("leaves").alias("node"))
+    large = table(placed.select("dim", F.inline("leaves")).groupBy("node", "dim").count().where(F.col("count") > ROWS).select("node", "dim"), "sizes")
+    found = members.join(large, ["node", "dim"], "left_anti") if not (none := large.isEmpty()) else members
+    found = table(found.groupBy("node", "dim").applyInArrow(_compare(least), "rep long, links long, root long"), "found")
+    if not none:
+        found = found.union(table(_blocked(members.join(large, ["node", "dim"], "left_semi"), least), "found"))
+    drop(placed)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(classes.select(F.col("rep").alias("id")), found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors-cc")
-    of_class = classes.select("rep", "m", "vec").join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep")
-    of_class = of_class.select(same.alias("h"), "vec", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    linked = rows.where("ok and id is not null").withColumn("h", same).join(of_class, ["h", "vec"]).select("id", "n_links", "component_id")
-    alone = rows.where("not ok or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").cast(kind).alias(key), "n_links", "component_id")
+    comp = table(components(classes.select(F.col("rep").alias("id")), found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors-cc"), "comp").toDF("rep", "root")
+    of_class = classes.select("rep", "m", "h", "vec", "least").join(links, "rep", "left").join(comp, "rep")
+    named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(named, "root").select("h", "vec", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    linked = rows.where("ok").withColumn("h", same).join(of_class, ["h", "vec"]).select("id", "n_links", "component_id")
+    alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.union(alone).select(F.col("id").alias(key), "n_links", "component_id")
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
