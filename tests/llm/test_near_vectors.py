@@ -55,6 +55,7 @@ def test_tight_group_is_not_copied(spark, monkeypatch):
     written, write = [], N.table
     monkeypatch.setattr(N, "table", lambda df, name: (out := write(df, name), written.append((name, out.count())))[0])
     monkeypatch.setattr(N, "ROWS", 200)
+    monkeypatch.setattr(N, "CUT", 150)
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
     got = {y.vec_id: (y.n_links, y.component_id) for y in N.near_vectors(df).collect()}
     assert max(n for name, n in written if name == "placed") == len(x)

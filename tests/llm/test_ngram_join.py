@@ -58,5 +58,40 @@ def test_edges(spark):
     kind = "doc_id long, text string"
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (9, None)]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.jaccard_components(spark.createDataFrame(rows, kind)).collect())
-    assert got == [("1", 2, "1"), ("1", 2, "1"), ("7", 2, "1"), ("9", 0, "9"), ("None", 2, "None")]
+    assert got == [("1", 2, "1"), ("1", 2, "1"), ("7", 2, "1"), ("9", 0, "9"), ("None", 2, "1")]
     assert J.jaccard_components(spark.createDataFrame([], kind)).count() == 0
+
+
+def components(spark, rows, **more):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.jaccard_components(df, **more).collect())
+
+
+def test_equal_ids_of_different_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (1, "a b c d e f")]
+    assert components(spark, rows) == [("1", 2, "1"), ("1", 2, "1"), ("1", 2, "1"), ("2", 2, "1")]
+
+
+def test_tie_at_the_threshold(spark):
+    """8 of 10 shingles shared is linked, 7 of 10 is not."""
+    w = [f"w{i}" for i in range(14)]
+    nine, eight = " ".join(w[:13]), " ".join([*w[:12], "x"])  # 9 shingles each, 8 shared of 10
+    other = " ".join([*w[:11], "y", "z"])  # 7 shared of 11
+    assert components(spark, [(5, nine), (6, eight), (7, other)]) == [("5", 9, "5"), ("6", 9, "5"), ("7", 9, "7")]
+
+
+def test_long_text_and_common_shingle(spark):
+    """A very long text, and a shingle that all documents of many clusters share."""
+    r = random.Random(4)
+    passage = "one two three four five"
+    rows = [(0, " ".join(f"w{r.randrange(5000)}" for _ in range(60_000)))]
+    for c in range(40):
+        base = [f"c{c}x{k}" for k in range(30 + c)]
+        for k in range(5):
+            v = list(base)
+            if k:
+                v[-k] = f"v{k}"
+            rows.append((1 + 5 * c + k, f"{passage} " + " ".join(v)))
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows[1:])
+    assert got.pop(0) == 0 and got == {i: c for i, (_, c) in want.items()}

@@ -46,7 +46,7 @@ SPREAD = 4 << 20
 #: Rows of a block of the comparison within a leaf.
 BLOCK = 512
 #: Most vectors of a leaf that one task compares, and of each of two blocks of a larger leaf.
-ROWS = 4096
+ROWS, CUT = 4096, 1024
 
 
 def _scaled(column: pa.ChunkedArray) -> np.ndarray:
@@ -284,7 +284,7 @@ def _blocked(rows: DataFrame, least: float) -> DataFrame:
     rows = table(rows.withColumn("first", F.array_min("leaves")), "large")
     many = rows.groupBy("node", "dim", "first").count().where(F.col("count") >= ROWS).select("node", "dim", "first", F.col("first").alias("pool"))
     rows = rows.join(F.broadcast(many), ["node", "dim", "first"], "left").withColumn("pool", F.coalesce("pool", F.lit(-1).cast("long")))
-    pools = table(rows.groupBy("node", "dim", "pool").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("cut")), "pools")
+    pools = table(rows.groupBy("node", "dim", "pool").agg(F.ceil(F.count("*") / CUT).cast("int").alias("cut")), "pools")
     cells = pools.select("node", "dim", "pool", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("salt")).withColumn("cell", F.struct("pool", "salt"))
     a, b = (cells.select("node", "dim", F.col("cell").alias(x)) for x in "ab")
     pairs = a.join(b, ["node", "dim"]).where("a <= b and (a.pool != b.pool or a.pool in (-1, node))")

@@ -13,20 +13,23 @@ shared shingles and the exact distances to the pivot allow a link (|d(x) - d(y)|
 the Jaccard distance). So no link between components is lost, and a large group of near copies costs a row a member.
 
 Null texts and texts without words have an empty set and link with nothing. Texts of fewer words than a shingle have
-one shingle, the whole sequence. Repeated rows (equal ids) have equal results; rows without an id keep a null id and
-are no one's component. An empty table gives an empty result; columns other than the key and the text are ignored.
+one shingle, the whole sequence. Rows with equal ids count as documents of their own, each with the component of its own
+text; rows without an id keep a null id, have the component of their text and are no one's component. A similarity of
+exactly the threshold links. An empty table gives an empty result; columns other than the key and the text are ignored.
+A class is known by a number given to it when the table of classes is written, a row by its id and its text's hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatlake.llm.common import blocks, components, read, sum_arrays, table
+from threatlake.llm.common import blocks, components, drop, read, sum_arrays, table
 
 #: Buckets of the hashed document frequencies (4 MB), and fragments of the global order.
 BUCKETS, FRAGMENTS = 1 << 20, 8
@@ -82,8 +85,8 @@ def _ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, rank[(s >> np.uint64(44)).astype(np.int64)]))]
 
 
-def prefixes(docs: DataFrame, shared, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, set_hash, prefix): the size and digest of each document's set and its rarest shingles in global order."""
+def prefixes(rows: DataFrame, shared, words: int, percent: int) -> DataFrame:
+    """(id, h, n, set_hash, prefix): the size and digest of each row's set and its rarest shingles in global order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -91,20 +94,20 @@ def prefixes(docs: DataFrame, shared, words: int, percent: int, key: str = "doc_
         rank, _ = shared.value
         for b in batches:
             n, digest, prefix = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingles(t, words)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefix.append(_ordered(s, rank)[: len(s) + 1 + (-percent * len(s)) // 100 if len(s) else 0].view(np.int64))
             sizes = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["id", "n", "set_hash", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["id", "h", "n", "set_hash", "prefix"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(cut, "id long, n long, set_hash binary, prefix array<long>")
+    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, h long, n long, set_hash binary, prefix array<long>")
 
 
-def fragments(docs: DataFrame, shared, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fragment, part): the shingles of each document within each fragment of the global order."""
+def fragments(texts: DataFrame, shared, words: int) -> DataFrame:
+    """(rep, fragment, part): the shingles of each class within each fragment of the global order, from (rep, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, part = shared.value
@@ -119,15 +122,15 @@ def fragments(docs: DataFrame, shared, words: int, key: str = "doc_id", text: st
                     parts.append(s[p == f].view(np.int64))
             sizes = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["id", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["rep", "fragment", "part"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(cut, "id long, fragment int, part array<long>")
+    return texts.mapInArrow(cut, "rep long, fragment int, part array<long>")
 
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b, shared): partial overlaps counted fragment by fragment, summed per pair; pairs without one are left out."""
-    left = parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("pa"))
-    right = parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("pb"))
+    left = parts.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("pa"))
+    right = parts.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("pb"))
     return (
         pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
         .select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("partial"))
@@ -137,16 +140,26 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row of docs."""
+    found = classified(docs, words, percent, key, text)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, h, n, component_id, root) of every row: its text's xxhash64 (0 for null), and a number that its component alone has."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType
-    shared = spark.sparkContext.broadcast(order(frequencies(docs, words, text)))
-    sets = table(prefixes(docs, shared, words, percent, key, text), "sets")
-    present = sets.where("id is not null and n > 0")
-    classes = table(present.groupBy("set_hash").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "prefix"), "id").alias("s")).select("set_hash", "rep", "s.n", "s.prefix"), "classes")
-
-    rows = classes.select("rep", "n", F.posexplode("prefix").alias("at", "shingle"))
-    lists = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
-    posted = table(rows.join(lists, "shingle").select("shingle", "rep", "n", "at", "m", "pivot"), "posted")
+    docs = docs.select(F.col(key).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), F.col(text).alias("text"))
+    shared = spark.sparkContext.broadcast(order(frequencies(docs, words)))
+    full = table(prefixes(docs, shared, words, percent), "prefixes")
+    first = full.where("n > 0").groupBy("set_hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("f"), F.min_by(F.struct(F.col("n").cast("int").alias("n"), "prefix"), F.struct(F.col("id").isNull(), "id", "h")).alias("s"))
+    # the number holds once the table is written
+    prefixed = table(first.select(F.monotonically_increasing_id().alias("rep"), "set_hash", F.col("f.id").alias("id"), F.col("f.h").alias("h"), "s.n", "s.prefix"), "prefixed")
+    sets, classes = table(full.drop("prefix"), "sets"), table(prefixed.drop("prefix"), "classes")
+    drop(full)
+
+    rows = prefixed.select("rep", "n", F.posexplode("prefix").alias("at", "shingle"))
+    lists = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
+    posted = table(rows.join(lists, "shingle"), "posted")
+    drop(prefixed)
     few = posted.where(F.col("m") <= SMALL).select("shingle", "rep", "n", "at")
     a, b = few.toDF("shingle", "a", "na", "ia"), few.toDF("shingle", "b", "nb", "ib")
     # sizes and positions must allow the similarity; of a similar pair's first common shingle they do
@@ -155,11 +168,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     # i: the first place of any shingle that put x into the group; what x shares with a member begins there or later
     groups = table(posted.where(F.col("m") > SMALL).groupBy(F.col("pivot").alias("g"), F.col("rep").alias("x")).agg(F.first("n").alias("n"), F.min("at").alias("i")), "groups")
     pairs = table(pairs.union(groups.where("g != x").select(F.least("g", "x"), F.greatest("g", "x"))).distinct(), "pairs")
+    drop(posted)
 
-    wanted = table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    mine = docs.select(F.col(key).cast("long").alias("id"), text)
-    parts = table(fragments(mine.join(wanted, "id", "left_semi").dropDuplicates(["id"]), shared, words, "id", text), "parts")
-    size = classes.select(F.col("rep").alias("id"), "n")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    wanted = table(classes.join(wanted, "rep").select("rep", "id", "h"), "wanted")
+    same = docs.id.eqNullSafe(wanted.id) & (docs.h == wanted.h)
+    parts = table(fragments(docs.join(wanted, same).select("rep", "text").dropDuplicates(["rep"]), shared, words), "parts")
+    drop(wanted)
+    size = classes.select("rep", "n")
 
     def counted(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, shared, jaccard distance) of all these pairs."""
@@ -170,39 +186,53 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
 
     ids = classes.select(F.col("rep").alias("id"))
     seen = counted(pairs, "counted")
+    drop(pairs)
     links = seen.where("linked").select("a", "b")
     comp = table(components(ids, links, "classes-cc"), "comp")
-    late = None
     for turn in range(ROUNDS):
         far = (
             groups.join(seen.select(F.col("a").alias("g"), F.col("b").alias("x"), "d").union(seen.select("b", "a", "d")), ["g", "x"], "left")
             .join(comp.toDF("x", "cx"), "x").join(comp.toDF("g", "cg"), "g")
             .select("g", "x", "n", "i", F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"), "cx", "cg")
         )
-        far = table(far, "far")
+        far = table(far.withColumn("band", _band("n", percent)), "far")
         rest = far.where("cx != cg")
         if rest.isEmpty():
+            drop(far)
             break
-        outer, inner = rest.toDF("g", "x", "nx", "ix", "dx", "cx", "cg"), far.where("cx = cg").select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("d").alias("dy"))
-        across = outer.join(inner, "g").where(_near(percent))
+        outer = rest.toDF("g", "x", "nx", "ix", "dx", "cx", "cg", "band")
+        around = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
+        inner = far.where("cx = cg").select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("d").alias("dy"), around)
+        across = outer.join(inner, ["g", "band"]).where(_near(percent))
         if turn == ROUNDS - 1:  # what is still apart is counted pair by pair
-            across = across.select("x", "y").union(outer.join(rest.toDF("g", "y", "ny", "iy", "dy", "cy", "_"), "g").where(f"x < y and cx != cy and {_near(percent)}").select("x", "y"))
+            other = rest.select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("d").alias("dy"), F.col("cx").alias("cy"), around)
+            across = across.select("x", "y").union(outer.join(other, ["g", "band"]).where(f"x < y and cx != cy and {_near(percent)}").select("x", "y"))
         done = seen.select("a", "b")
         new = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b")
         heads = rest.groupBy("g", "cx").agg(F.min("x").alias("head"))
         heads = heads.groupBy("g").agg(F.min("head").alias("head"))
-        groups = table(rest.join(heads, "g").groupBy(F.col("head").alias("g"), "x").agg(F.first("n").alias("n"), F.min("i").alias("i")), "groups")
+        before, groups = groups, table(rest.join(heads, "g").groupBy(F.col("head").alias("g"), "x").agg(F.first("n").alias("n"), F.min("i").alias("i")), "groups")
         stars = groups.where("g != x").select(F.least("g", "x").alias("a"), F.greatest("g", "x").alias("b"))
         todo = table(new.union(stars).distinct().join(done, ["a", "b"], "left_anti"), "todo")
+        drop(before, far)
         late = counted(todo, "counted")
+        drop(todo)
         seen = seen.union(late)
         links = seen.where("linked").select("a", "b")
         if not late.where("linked").isEmpty():
-            comp = table(components(ids, links, "classes-cc"), "comp")
-    of_class = classes.select("set_hash", "rep").join(comp.toDF("rep", "component_id"), "rep").select("set_hash", "component_id")
-    alone = sets.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
-    out = present.select("id", "n", "set_hash").join(of_class, "set_hash").select("id", "n", "component_id").union(alone)
-    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), "component_id")
+            before, comp = comp, table(components(ids, links, "classes-cc"), "comp")
+            drop(before)
+    drop(parts, groups)
+    of_class = classes.select("set_hash", "rep", "id").join(comp.toDF("rep", "root"), "rep")
+    named = of_class.groupBy("root").agg(F.min("id").alias("component_id"))  # a null id is no one's component
+    of_class = of_class.join(named, "root").select("set_hash", "component_id", "root")
+    alone = sets.where("n = 0").select("id", "h", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return sets.where("n > 0").join(of_class, "set_hash").select("id", "h", "n", "component_id", "root").union(alone)
+
+
+def _band(n: str, percent: int) -> Column:
+    """Sizes as near as the threshold asks are in the same band or in adjacent ones."""
+    return F.floor(F.log(F.col(n)) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col(n).cast("int")
 
 
 def _near(percent: int) -> str:
