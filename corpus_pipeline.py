@@ -1,7 +1,7 @@
 """A corpus pipeline of four stages; each takes (spark, docs, sf_dir) and returns the documents it keeps.
 
 Language identification drops documents without a language; of each group of near duplicates the document with the
-smallest id stays, and so does one of repeated rows; personal data is replaced by its kind; what is left is packed.
+smallest id stays, and one of rows that repeat both id and text; personal data is replaced by its kind; what is left is packed.
 Documents without an id are kept by all stages.
 """
 
@@ -21,11 +21,17 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    """One document of each component of five-word shingle sets with a Jaccard similarity of 0.8 or more.
+
+    Rows with equal ids and different texts are documents of their own. Texts without words are in no component and stay.
+    """
     common.bounded_batches(spark)
-    kept = ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.union(docs.where("doc_id is null")).select(*docs.columns)
+    found = common.table(ngram_join.classified(docs), "classified")
+    first = found.where("root is not null and id is not null").groupBy("root").agg(F.min(F.struct("id", "h")).alias("f")).select("f.id", "f.h")
+    kept = first.union(found.where("root is null and id is not null").select("id", "h")).toDF("_id", "_h").distinct()
+    hashed = docs.withColumn("_h2", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    stay = hashed.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_h2") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "_h2"])
+    return stay.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
