@@ -69,6 +69,8 @@ class Sampler:
         self.piece, self.log_weight = np.array(self.piece, np.int32), np.array(self.log_weight)
         self.keys = np.array(sorted(edges), np.int64)
         self.next = np.array([edges[k] for k in self.keys.tolist()], np.int32)
+        self.inner = np.zeros(len(nodes), bool)
+        self.inner[self.keys >> 21] = True
         self.first = np.zeros(0x110000, np.int32)
         top = self.keys < (1 << 21)
         self.first[self.keys[top]] = self.next[top]
@@ -92,6 +94,8 @@ class Sampler:
             at, node = at[alive], node[alive]
             whole = np.flatnonzero(self.piece[node] >= 0)
             parts.append((at[whole], at[whole] + k, self.piece[node[whole]], self.log_weight[node[whole]]))
+            inner = np.flatnonzero(self.inner[node])
+            at, node = at[inner], node[inner]
             key = node.astype(np.int64) << 21 | code[at + k]  # a line end follows every chunk, and no piece goes on with it
             found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             node = np.where(self.keys[found] == key, self.next[found], 0)
@@ -122,9 +126,10 @@ class Sampler:
 
     def _sample(self, chunks: list[str], seed: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all chunks in order, how many each has); seed and number in its text of each chunk."""
-        index: dict[str, int] = {}
-        which = np.fromiter((index.setdefault(c, len(index)) for c in chunks), np.int64, len(chunks))
-        end, length, first, start, piece, share = self.lattice(list(index))
+        distinct = list(dict.fromkeys(chunks))
+        which = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, chunks), np.int64, len(chunks))
+        end, length, first, start, piece, share = self.lattice(distinct)
+        spread = int(np.diff(first).max(initial=1) - 1).bit_length()
         node, active = end[which], np.arange(len(which))
         origin = node - length[which]
         key = (seed.astype(np.uint64) + _A) * _B ^ number.astype(np.uint64) * _A
@@ -137,7 +142,12 @@ class Sampler:
             x = (x ^ x >> np.uint64(31)) * _A
             u = (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
             below = np.where(low > 0, share[low - 1], 0.0)
-            e = np.minimum(np.maximum(np.searchsorted(share, below + u * (share[high - 1] - below), side="right"), low), high - 1)
+            u = below + u * (share[high - 1] - below)
+            e, last = low.copy(), high - 1
+            for _ in range(spread):  # the first edge with a larger running sum, or the last one
+                middle = (e + last) >> 1
+                less = (share[middle] <= u) & (e < last)
+                e, last = np.where(less, middle + 1, e), np.where(less, last, middle)
             steps.append((active, piece[e]))
             n[active] += 1
             node[active] = start[e]
@@ -170,6 +180,8 @@ class Sampler:
         flush()
         pieces, n = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
         ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(made)].tolist() if made else []
+        single = np.flatnonzero((pieces < 0) & (pieces >= -128))
+        pieces[single] = np.array(self.byte[:128], np.int64)[-1 - pieces[single]]
         return [self._spelt(pieces[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
 
     def _spelt(self, pieces: np.ndarray) -> np.ndarray:
