@@ -45,13 +45,13 @@ _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df as a written Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
+def table(df: DataFrame, name: str, by: tuple = ()) -> DataFrame:
+    """df as a written Parquet table in the shared folder, which cuts its lineage and survives lost executors; a folder for each value of `by`."""
     spark = df.sparkSession
     path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEAN)

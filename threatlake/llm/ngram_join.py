@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from threatlake.llm.common import blocks, components, drop, read, sum_arrays, ta
 
 #: Buckets of the hashed document frequencies (4 MB), and fragments of the global order.
 BUCKETS, FRAGMENTS = 1 << 20, 8
+#: Fragments that are counted in one step.
+TOGETHER = 2
 #: Classes that share a prefix shingle and are paired at once; more get a pivot. Rounds of pivots.
 SMALL, ROUNDS = 3, 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -128,14 +131,18 @@ def fragments(texts: DataFrame, shared, words: int) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, shared): partial overlaps counted fragment by fragment, summed per pair; pairs without one are left out."""
-    left = parts.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("pa"))
-    right = parts.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("pb"))
-    return (
-        pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-        .select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("partial"))
-        .groupBy("a", "b").agg(F.sum("partial").alias("shared"))
-    )
+    """(a, b, shared): overlaps counted for some fragments at a time, summed per pair; pairs without one are left out.
+
+    Each step moves and writes its own fragments only, so that what is on disk at once doesn't hold whole sets of both sides.
+    """
+    partial = []
+    for f in range(0, FRAGMENTS, TOGETHER):
+        some = parts.where(F.col("fragment").between(f, f + TOGETHER - 1))
+        left = some.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("pa"))
+        right = some.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("pb"))
+        both = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
+        partial.append(table(both.select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("partial")), "partial"))
+    return reduce(DataFrame.union, partial).groupBy("a", "b").agg(F.sum("partial").alias("shared"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,7 +180,7 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     wanted = table(classes.join(wanted, "rep").select("rep", "id", "h"), "wanted")
     same = docs.id.eqNullSafe(wanted.id) & (docs.h == wanted.h)
-    parts = table(fragments(docs.join(wanted, same).select("rep", "text").dropDuplicates(["rep"]), shared, words), "parts")
+    parts = table(fragments(docs.join(wanted, same).select("rep", "text").dropDuplicates(["rep"]), shared, words), "parts", ("fragment",))
     drop(wanted)
     size = classes.select("rep", "n")
 
