@@ -207,24 +207,28 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _joined(fields: tuple) -> str:
+    """The column that holds these fields' texts in lower case, on lines of their own."""
+    return "_low_" + "_".join(fields)
+
+
 def signature(rule: Rule) -> Column:
     """A struct for the first field that matches, or null. Expects the columns that matches() adds.
 
-    Given as one SQL text: composed of columns, the catalogue takes thousands of calls to the JVM for each query.
+    Given as one SQL text: composed of columns, the catalogue takes thousands of calls to the JVM for each query. Literals
+    are looked for once in all fields together, and only on ASCII text; there the plain flags mean the same and are faster.
     """
     pattern = "|".join(f"(?:{p})" for p in rule.patterns)
     cases = []
     for f in rule.fields:
-        # on ASCII text the plain flags mean the same and are faster
-        plain = f"{f} RLIKE {_quoted('(?id)' + pattern)}"
-        if rule.name in TRIGGERS:
-            plain = f"({' OR '.join(f'contains(_low_{f}, {_quoted(t)})' for t in TRIGGERS[rule.name])}) AND {plain}"
-        holds = f"CASE WHEN _ascii_{f} THEN {plain} ELSE {f} RLIKE {_quoted(FLAGS + pattern)} END"
+        holds = f"CASE WHEN _ascii THEN {f} RLIKE {_quoted('(?id)' + pattern)} ELSE {f} RLIKE {_quoted(FLAGS + pattern)} END"
         cases.append(f"WHEN {f} <> '' AND {holds} THEN named_struct('rule_name', {_quoted(rule.name)}, 'matched_field', '{f}', 'evidence', substring({f}, 1, 200))")
-    hit = f"CASE {' '.join(cases)} END"
+    hit, gates = f"CASE {' '.join(cases)} END", []
     if rule.family in SUCCESS_ONLY:
-        hit = f"CASE WHEN http_status IS NULL OR http_status BETWEEN 200 AND 399 THEN {hit} END"
-    return F.expr(hit)
+        gates.append("_not_refused")
+    if rule.name in TRIGGERS:
+        gates.append(f"(NOT _ascii OR {' OR '.join(f'contains({_joined(rule.fields)}, {_quoted(t)})' for t in TRIGGERS[rule.name])})")
+    return F.expr(f"CASE WHEN {' AND '.join(gates)} THEN {hit} END" if gates else hit)
 
 
 def _any(column: Column, parts: list[str], how: str = "contains") -> Column:
@@ -272,8 +276,11 @@ def prepared(events: DataFrame) -> DataFrame:
 def matches(events: DataFrame, families: list[str] | None = None, sites: Sites = Sites(), fixed: bool = True, keys: tuple = ()) -> DataFrame:
     """One row for each event and rule that holds: the event's keys, rule_name, matched_field and evidence."""
     extra = coded(sites, fixed)
-    hits = [h for family in families or FAMILIES for h in ([signature(r) for r in RULES if r.family == family] + [extra[r.name] for r in CODED if r.family == family])]
-    ready = prepared(events).withColumns({f"_low_{f}": F.lower(f) for f in ALL} | {f"_ascii_{f}": F.octet_length(f) == F.char_length(f) for f in ALL})
+    chosen = [r for r in RULES if r.family in (families or FAMILIES)]
+    hits = [h for family in families or FAMILIES for h in ([signature(r) for r in chosen if r.family == family] + [extra[r.name] for r in CODED if r.family == family])]
+    joined = {fields: F.lower(F.concat_ws("\n", *fields)) for fields in dict.fromkeys(r.fields for r in chosen)}
+    everything = F.concat_ws("", *ALL)
+    ready = prepared(events).withColumns({_joined(k): v for k, v in joined.items()} | {"_ascii": F.octet_length(everything) == F.char_length(everything), "_not_refused": F.col("http_status").isNull() | F.col("http_status").between(200, 399)})
     # a rule that doesn't hold gives a row of nulls, which goes
     return ready.select(*keys, "row_number", "event_id", "event_ts", "src_ip", F.inline(F.array(*hits))).where("rule_name is not null")
 
