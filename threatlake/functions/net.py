@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 QUAD = r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$"
 
@@ -42,22 +44,44 @@ def in_networks(number: Column, networks: list[str]) -> Column:
 
 
 def is_internal(ip: Column) -> Column:
-    return in_networks(ip_number(ip), INTERNAL)
+    return in_networks(ip_number(ip), INTERNAL) | F.coalesce(ip.rlike("^(::1$|f[cd]|fe[89ab])"), F.lit(False))
 
 
 def is_private(ip: Column) -> Column:
     n = ip_number(ip)
-    return in_networks(n, PRIVATE) & ~in_networks(n, PUBLIC_WITHIN_PRIVATE)
+    return (in_networks(n, PRIVATE) & ~in_networks(n, PUBLIC_WITHIN_PRIVATE)) | F.coalesce(v6_class(ip) == "private", F.lit(False))
 
 
 def is_global(ip: Column) -> Column:
     """A parsable address that is neither private nor shared address space."""
-    return ip_number(ip).isNotNull() & ~is_private(ip) & ~in_networks(ip_number(ip), SHARED)
+    n = ip_number(ip)
+    return (n.isNotNull() & ~(in_networks(n, PRIVATE) & ~in_networks(n, PUBLIC_WITHIN_PRIVATE)) & ~in_networks(n, SHARED)) | F.coalesce(v6_class(ip) == "global", F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def canonical_v6(raw: pd.Series) -> pd.Series:
+    """The canonical text of an IPv6 address, without a zone; null for what isn't one."""
+    import ipaddress
+
+    def one(x):
+        try:
+            a = ipaddress.IPv6Address(x.strip().strip("[]").partition("%")[0])
+        except (ValueError, AttributeError):
+            return None
+        return str(a.ipv4_mapped or a)
+
+    return raw.map(one)
+
+
+def v6_class(ip: Column) -> Column:
+    """`private` or `global` of a canonical IPv6 address, by its first hexadecimal digits; null for anything else."""
+    closed = ip.rlike("^(::1?$|f[cd]|fe[89ab]|ff|100::|2001:db8:|64:ff9b:1:)")
+    return F.when(ip.contains(":"), F.when(closed, "private").otherwise("global"))
 
 
 def normalize_ip(raw: Column) -> Column:
-    """The dotted quad of a raw field: trimmed, without the mapped prefix, or the first one inside; null if there is none."""
-    text = F.regexp_replace(F.trim(raw), "(?i)^::ffff:", "")
+    """The address of a raw field: a dotted quad, trimmed, without the mapped prefix, or an IPv6 address in canonical form,
+    or the first dotted quad inside; null if there is none. Only fields with two colons leave the JVM."""
+    text = F.regexp_replace(F.trim(raw), "(?i)^::ffff:(?=[0-9]+[.])", "")
     inner = F.regexp_extract(text, r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^0-9.]|$)", 1)
-    v6 = F.when(text.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]+$"), F.lower(text))
-    return F.when(text.rlike(QUAD), text).otherwise(F.coalesce(v6, F.when(inner.rlike(QUAD), inner)))
+    return F.when(text.rlike(QUAD), text).when(F.length(text) - F.length(F.replace(text, F.lit(":"))) >= 2, canonical_v6(text)).otherwise(F.when(inner.rlike(QUAD), inner))

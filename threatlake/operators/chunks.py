@@ -118,15 +118,5 @@ def covered_sources(threats: DataFrame) -> DataFrame:
     return threats.groupBy("src_ip").agg(F.min("confidence").alias("least")).where("least >= 0.8").select("src_ip")
 
 
-def summary(chunks: DataFrame) -> DataFrame:
-    """Anomaly score and red flags of each chunk."""
-    c = F.col
-    score = F.when(c("failure_rate") > 0.7, 30).otherwise(0) + F.when(c("targets") > 5, 20).otherwise(0) + F.when(c("events") > 100, 15).otherwise(0)
-    flags = F.array_compact(F.array(
-        F.when(c("failure_rate") > 0.5, F.lit("high failure rate")), F.when(c("targets") > 5, F.lit("many targets")), F.when(F.size("ports") > 5, F.lit("many ports")), F.when(c("pattern").isin("bursty", "escalating"), F.lit("bursts")),
-    ))
-    return chunks.withColumns({"anomaly_score": F.least(score, F.lit(100)), "red_flags": flags})
-
-
 def internal_external(events: DataFrame) -> DataFrame:
     return events.groupBy(net.is_internal(F.col("src_ip")).alias("internal_src"), net.is_internal(F.col("dst_ip")).alias("internal_dst")).agg(F.count("*").alias("events"))

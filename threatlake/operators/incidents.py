@@ -2,39 +2,69 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlake.functions import net
 from threatlake.operators import mitre
 
-# The least confidence of a threat that becomes an incident; priorities in order; lengths kept.
-LEAST, PRIORITIES, TITLE, TEXT = 0.7, ["critical", "high", "medium", "low", "info"], 60, 300
+# The least confidence of a threat that becomes an incident, priorities in order and by severity, the first
+# status, and the lengths that titles, evidence, briefs and raw lines are cut to.
+LEAST, PRIORITIES, NEW = 0.7, ["critical", "high", "medium", "low", "informational"], "new"
+PRIORITY_OF = {"critical": "critical", "high": "high", "medium": "medium", "low": "low", "info": "informational"}
+TITLE, FINDING, TEXT, BRIEF = 60, 80, 300, 260
 # End of the fixed values.
 
 
-def _incidents(found: DataFrame, source: str, rule: str, evidence: Column) -> DataFrame:
+def indicator(corpus: Column) -> Column:
+    """What kind of evidence a text tells of, by parts of its words, in this order; the text "null" if none."""
+    t = F.lower(corpus)
+    has = lambda *words: reduce(or_, (t.contains(w) for w in words))
+    return (
+        F.when(has("url", "uri", "path"), "url").when(has("referer", "referrer"), "referer").when(has("user agent", "user_agent"), "user_agent")
+        .when(has("payload", "injection", "command"), "payload").when(has("ip", "scanner", "recon"), "source ip").otherwise("null")
+    )
+
+
+def second_address(text: Column) -> Column:
+    """The second dotted quad in a text, of two or more."""
+    return F.get(F.regexp_extract_all(text, F.lit(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"), F.lit(0)), F.lit(1))
+
+
+def score(confidence: Column) -> Column:
+    """1 to 10; halves go to the even number."""
+    return F.greatest(F.lit(1), F.least(F.lit(10), F.bround(F.coalesce(confidence, F.lit(0.0)) * 10, 0).cast("int")))
+
+
+def _incidents(found: DataFrame, source: str, rule: str, title: Column, text: Column, evidence: Column, corpus: Column, raw: Column, action: Column) -> DataFrame:
+    """text: what was found, in a sentence."""
+    priority = F.coalesce(*(F.when(F.col("severity") == k, F.lit(v)) for k, v in PRIORITY_OF.items()), F.lit("medium"))
     mapped = mitre.map_findings(found, rule)
     return mapped.select(
         F.md5(F.concat_ws("|", F.lit(source), "src_ip", rule)).alias("incident_id"), F.lit(source).alias("source"), F.col(rule).alias("rule"), "category", "src_ip",
-        F.substring(F.concat(F.initcap(F.translate("category", "_", " ")), F.lit(" from "), "src_ip"), 1, TITLE).alias("title"), F.col("severity").alias("priority"), F.lit("open").alias("status"), "confidence",
-        F.bround(F.col("confidence") * 10, 0).cast("int").alias("score"), F.substring(evidence, 1, TEXT).alias("evidence"), indicator(evidence).alias("indicator"),
-        "technique_id", "technique", "tactic", *(c for c in ("first_seen", "last_seen") if c in found.columns),
+        title.alias("title"), priority.alias("priority"), F.lit(NEW).alias("status"), (priority != "informational").alias("suspicious"), "confidence", score(F.col("confidence")).alias("score"),
+        F.substring(evidence, 1, TEXT).alias("evidence"), F.substring(raw, 1, TEXT).alias("raw_log"), second_address(evidence).alias("destination_ip"), indicator(corpus).alias("indicator"),
+        F.substring(text, 1, BRIEF).alias("brief"), action.alias("action"), "technique_id", "technique", "tactic", *(c for c in ("first_seen", "last_seen", "match_count") if c in found.columns),
     )
 
 
-def indicator(evidence: Column) -> Column:
-    """What kind of evidence a text is, by its words, in this order."""
-    t = F.lower(evidence)
-    return F.when(t.contains("url") | t.contains("uri") | t.contains("http"), "url").when(t.contains("refer"), "referer").when(t.contains("agent"), "user_agent").when(t.contains("payload"), "payload").otherwise("source_ip")
-
-
 def from_threats(threats: DataFrame) -> DataFrame:
-    return _incidents(threats.where(F.col("confidence") >= LEAST), "deterministic", "rule_name", F.coalesce(F.get("sample_evidence", F.lit(0)), F.lit("")))
+    """An incident for each threat of enough confidence; its evidence is the first three samples."""
+    actor, said = F.coalesce(F.nullif("src_ip", F.lit("")), F.lit("Unknown")), F.coalesce("sample_evidence", F.array().cast("array<string>"))
+    evidence, text = F.array_join(F.slice(said, 1, 3), "; "), F.col("description")
+    title = F.concat(F.lit("["), F.upper("category"), F.lit("] "), F.substring(text, 1, TITLE), F.lit(" from "), actor)
+    action = F.concat(F.lit("Investigate "), F.col("category"), F.lit(" from "), actor)
+    return _incidents(threats.where(F.col("confidence") >= LEAST), "deterministic", "rule_name", title, text, evidence, F.concat_ws(" ", "category", "rule_name", evidence), F.get(said, F.lit(0)), action)
 
 
 def from_correlations(findings: DataFrame) -> DataFrame:
-    return _incidents(findings, "correlation", "correlation_rule", F.col("description"))
+    """An incident for each finding; the finding's evidence is its description."""
+    text = F.col("description")
+    action = F.concat(F.lit("Investigate correlated activity from "), F.col("src_ip"))
+    return _incidents(findings, "correlation", "correlation_rule", F.concat(F.lit("[CORRELATION] "), F.substring(text, 1, FINDING)), text, text, F.concat_ws(" ", text, "correlation_rule"), text, action)
 
 
 def all_incidents(threats: DataFrame, findings: DataFrame) -> DataFrame:
@@ -50,6 +80,37 @@ def listed(incidents: DataFrame, order: str = "severity", limit: int | None = No
     return out if limit is None else out.limit(limit)
 
 
+def searched(incidents: DataFrame, title: str = "", tactic: str | None = None, source_ip: str | None = None) -> DataFrame:
+    """Incidents whose title holds a text, whatever its case, of a tactic and a source."""
+    out = incidents.where(F.lower("title").contains(title.lower()))
+    for column, value in (("tactic", tactic), ("src_ip", source_ip)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return out
+
+
+def of_file(incidents: DataFrame, files: str, file_id: str) -> DataFrame:
+    """Incidents that list a file among theirs (an array column)."""
+    return incidents.where(F.array_contains(files, file_id))
+
+
+def changed(incidents: DataFrame, changes: DataFrame) -> DataFrame:
+    """Incidents after their latest changes. changes: incident_id, changed_at, and status or priority, null where unchanged.
+
+    Changes are folded by id before they meet the incidents, so a rewrite reads each incident once.
+    """
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("changed_at"))).alias(f"_{c}") for c in ("status", "priority")]
+    steps = F.array_sort(F.collect_list(F.struct("changed_at", "status", "priority"))).alias("timeline")
+    folded = changes.groupBy("incident_id").agg(*latest, steps)
+    out = incidents.join(folded, "incident_id", "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("status", "priority")}).drop("_status", "_priority")
+
+
+def rows_as_json(incidents: DataFrame) -> DataFrame:
+    """(incident_id, json): one JSON object for each incident, for stores that take documents."""
+    return incidents.select("incident_id", F.to_json(F.struct(*sorted(incidents.columns))).alias("json"))
+
+
 def stats(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("status", "priority").agg(F.count("*").alias("incidents"))
 

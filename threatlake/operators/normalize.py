@@ -32,6 +32,12 @@ def safe_int(raw: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < 9e15), x.cast("bigint"))
 
 
+def _zoned(raw: Column) -> Column:
+    """A date or time of day without a zone gets UTC."""
+    t = F.trim(raw)
+    return F.when(t.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9:.]+$"), F.concat(t, F.lit("Z"))).otherwise(t)
+
+
 def normalize(parsed: DataFrame, ingest_ts: str = "1970-01-01 00:00:00") -> DataFrame:
     """parsed: row_number, timestamp, src_ip, dst_ip, src_port, dst_port, action, protocol, uri, method, status, user_agent,
     referrer, username, bytes_sent, all strings but the first; absent columns count as null."""
@@ -41,13 +47,14 @@ def normalize(parsed: DataFrame, ingest_ts: str = "1970-01-01 00:00:00") -> Data
         "_src": F.coalesce(net.normalize_ip(c("src_ip")), F.lit("-")), "_dst": net.normalize_ip(c("dst_ip")), "_port": safe_int(c("dst_port")),
         "_path": text.uri_path(c("uri")), "_query": F.coalesce(F.nullif(c("uri_query"), F.lit("")), text.uri_query(c("uri"))),
     })
+    # a time without a zone is UTC, whatever the session's zone
     rows = rows.withColumns({"_dst": F.nullif("_dst", "_src"), "_src_number": net.ip_number(F.col("_src"))}).withColumn("_dst_number", net.ip_number(F.col("_dst")))
     src, dst, port, path, query = (F.col(f"_{n}") for n in ("src", "dst", "port", "path", "query"))
-    at = F.coalesce(F.try_to_timestamp(c("timestamp")), *(F.try_to_timestamp(c("timestamp"), F.lit(f)) for f in ("dd/MMM/yyyy:HH:mm:ss Z", "d MMM yyyy, h:mm a")), F.lit(ingest_ts).cast("timestamp"))
+    at = F.coalesce(F.try_to_timestamp(_zoned(c("timestamp"))), *(F.try_to_timestamp(t, F.lit(f)) for t, f in ((c("timestamp"), "dd/MMM/yyyy:HH:mm:ss Z"), (F.concat(c("timestamp"), F.lit(" +0000")), "d MMM yyyy, h:mm a Z"))), F.to_timestamp(F.lit(f"{ingest_ts}Z")))
     message = F.coalesce(F.nullif(c("original_message"), F.lit("")), F.concat_ws("", F.upper(c("method")), F.lit(" "), path, F.when(query.isNotNull(), F.concat(F.lit("?"), query))))
     internal = lambda n: net.in_networks(F.col(f"_{n}_number"), net.INTERNAL)
     return rows.select(
-        "row_number", F.md5(F.concat_ws("|", F.col("row_number").cast("string"), c("timestamp"), c("src_ip"), c("uri"))).alias("event_id"), at.cast("timestamp_ntz").alias("event_ts"), src.alias("src_ip"), safe_int(c("src_port")).alias("src_port"),
+        "row_number", F.md5(F.concat_ws("|", F.col("row_number").cast("string"), c("timestamp"), c("src_ip"), c("uri"))).alias("event_id"), F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")).alias("event_ts"), src.alias("src_ip"), safe_int(c("src_port")).alias("src_port"),
         dst.alias("dst_ip"), c("dst_host").alias("dst_host"), port.alias("dst_port"), action(c("action")).alias("action"), protocol(c("protocol"), port).alias("protocol"), F.nullif(c("username"), F.lit("")).alias("username"),
         safe_int(c("bytes_sent")).alias("bytes_sent"), safe_int(c("bytes_received")).alias("bytes_received"), safe_int(c("response_size")).alias("response_size"), internal("src").alias("is_internal_src"), F.when(dst.isNotNull(), internal("dst")).alias("is_internal_dst"),
         F.upper(c("method")).alias("http_method"), safe_int(c("status")).cast("int").alias("http_status"), path.alias("uri_path"), query.alias("uri_query"), c("user_agent").alias("user_agent"), c("referrer").alias("referrer"), F.substring(message, 1, 2000).alias("original_message"),

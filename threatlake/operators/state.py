@@ -31,6 +31,12 @@ def batch_stats(events: DataFrame, batch: str = "batch") -> DataFrame:
     )
 
 
+def status_histogram(events: DataFrame, keys: tuple = ("src_ip",)) -> DataFrame:
+    """A map of statuses and how often each occurs, for each source; summed by status first."""
+    counts = events.where(F.col("http_status").isNotNull()).groupBy(*keys, "http_status").count()
+    return counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("http_status", "count")))).alias("statuses"))
+
+
 def scores(threats: DataFrame, batch: str = "batch") -> DataFrame:
     """(src_ip, categories, timeline, threat_score): a fold over a source's threats, by batch, then severity, then count."""
     rank = detect.severity_rank(F.col("severity"))

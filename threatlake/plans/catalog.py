@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake.functions import net, text
-from threatlake.operators import chunks, detect, incidents, mitre, normalize, rules, state
+from threatlake.operators import chunks, detect, incidents, mitre, normalize, rules, state, summaries
 from threatlake.plans.adapter import events
 from threatlake.plans.oracle import oracle_sql
 
@@ -60,7 +60,33 @@ def chunk_risk_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_risk_covered(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(chunks.summary(chunks.risk(chunks.suspicious(_chunks(spark, sf)), chunks.covered_sources(_threats(spark, sf))))).withColumn("red_flags", F.array_join("red_flags", ","))
+    c = summaries.scored(chunks.risk(chunks.suspicious(_chunks(spark, sf)), chunks.covered_sources(_threats(spark, sf))))
+    return c.select("strategy", "entity", "window_start", F.round("risk", 6).alias("risk"), "anomaly_score", F.array_join("red_flags", "; ").alias("red_flags"))
+
+
+def _windows(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.indexed(events(spark, sf))
+
+
+def chunk_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    c = summaries.full(_chunks(spark, sf))
+    return c.select(*summaries.KEYS, "time_window", F.array_join("port_descriptions", ",").alias("port_descriptions"), "simple_pattern", "bytes_text", "narrative", F.array_join("recommendations", "; ").alias("recommendations"))
+
+
+def chunk_context(spark: SparkSession, sf: str) -> DataFrame:
+    c = summaries.context(_windows(spark, sf)).drop("bytes_received")
+    return c.withColumns({k: F.array_join(k, ",") for k in ("actor_sources", "dst_ips", "dst_hosts", "port_categories")})
+
+
+def http_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    c = summaries.http_analysis(_windows(spark, sf))
+    statuses = F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return c.select(*summaries.KEYS, statuses.alias("statuses"), *(F.array_join(k, ",").alias(k) for k in ("methods", "agents", "indicators")))
+
+
+def incidents_list(spark: SparkSession, sf: str) -> DataFrame:
+    found = incidents.listed(_incidents(spark, sf))
+    return found.select("src_ip", "rule", "source", "status", "priority", "title", "evidence", "raw_log", "destination_ip", "indicator", "score", "match_count")
 
 
 def anchored_windows_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +133,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_tactics": lambda s, d: incidents.top_tactics(_incidents(s, d)),
         "incident_stats": lambda s, d: incidents.stats(_incidents(s, d)),
         "incidents_per_day": lambda s, d: incidents.per_day(_incidents(s, d)),
-        "incidents_all": lambda s, d: incidents.listed(incidents.all_incidents(_threats(s, d), state.correlations(_actors(s, d)))),
+        "incidents_all": lambda s, d: incidents.stats(incidents.all_incidents(_threats(s, d), state.correlations(_actors(s, d)))),
+        "incidents_list": incidents_list,
+        "correlation_incidents": lambda s, d: incidents.from_correlations(state.correlations(_actors(s, d))).select("src_ip", "rule", "status", "priority", "title", "indicator", "action"),
+        "red_flags": lambda s, d: summaries.scored(_chunks(s, d)).where("size(red_flags) > 0").select(*summaries.KEYS, F.array_join("red_flags", "; ").alias("red_flags")),
+        "anomaly_score": lambda s, d: summaries.scored(_chunks(s, d)).select(*summaries.KEYS, "anomaly_score", F.array_join("reasons", "; ").alias("reasons")),
+        "chunk_summaries": chunk_summaries,
+        "chunk_context": chunk_context,
+        "http_analysis": http_analysis,
+        "status_histogram": lambda s, d: state.status_histogram(events(s, d)).select("src_ip", F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",").alias("statuses")),
         "technique_context": lambda s, d: mitre.technique_context(s),
         "technique_suggestions": technique_suggestions,
         "chunks_multi_index": lambda s, d: _shown(_chunks(s, d)),

@@ -38,13 +38,17 @@ def encoding(head: bytes) -> str:
 
 def read_rows(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """(format, rows with row_number): `delimited` with one string column a field, or `lines` with logevent."""
-    head = [r[0] for r in spark.read.text(path).limit(5).collect()]
+    # lines as they are on disk; the text reader doesn't decode them
+    raw = [bytes(r[0]) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(200).collect()]
+    charset = encoding(b"\n".join(raw) + b"\n\n\n")
+    text = lambda: spark.read.csv(path, sep="\x00", quote="", header=False, schema="value string", encoding=charset, multiLine=charset.startswith("UTF-16"))
+    head = [(r[0] or "").lstrip("\ufeff") for r in text().limit(5).collect()]
     first = head[0] if head else ""
     order = F.monotonically_increasing_id()
     if first.lstrip('"').startswith("<") and ("HTTP/" in first or "httpd[" in first):
-        lines = spark.read.text(path).where("trim(value) != ''").select(F.regexp_replace(F.regexp_replace("value", '^"(<.*)"$', "$1"), '""', '"').alias("logevent"))
+        lines = text().where("trim(value) != ''").select(F.regexp_replace(F.regexp_replace("value", '^"(<.*)"$', "$1"), '""', '"').alias("logevent"))
         return "lines", lines.select((order + 1).alias("row_number"), "logevent")
-    rows = spark.read.csv(path, header=True, sep=delimiter(head), mode="PERMISSIVE", enforceSchema=False)
+    rows = spark.read.csv(path, header=True, sep=delimiter(head), mode="PERMISSIVE", enforceSchema=False, escape='"', multiLine=True, encoding=charset)
     clean = [F.col(f"`{c}`").alias(c.strip().strip("|").strip().lower()) for c in rows.columns]
     return "delimited", rows.select((order + 2).alias("row_number"), *clean)
 
