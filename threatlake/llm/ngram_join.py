@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from threatlake.llm.common import blocks, components, drop, read, sum_arrays, table
 
 #: Buckets of the hashed document frequencies (4 MB), and fragments of the global order.
-BUCKETS, FRAGMENTS = 1 << 20, 8
+BUCKETS, FRAGMENTS = 1 << 20, 4
 #: Fragments that are counted in one step.
 TOGETHER = 2
 #: Classes that share a prefix shingle and are paired at once; more get a pivot. Rounds of pivots.
@@ -136,10 +136,11 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     Each step moves and writes its own fragments only, so that what is on disk at once doesn't hold whole sets of both sides.
     """
     partial = []
+    a, b = (pairs.select(F.col(k).alias("rep")).distinct() for k in "ab")
     for f in range(0, FRAGMENTS, TOGETHER):
         some = parts.where(F.col("fragment").between(f, f + TOGETHER - 1))
-        left = some.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("pa"))
-        right = some.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("pb"))
+        left = some.join(a, "rep", "left_semi").select(F.col("rep").alias("a"), "fragment", F.col("part").alias("pa"))
+        right = some.join(b, "rep", "left_semi").select(F.col("rep").alias("b"), "fragment", F.col("part").alias("pb"))
         both = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
         partial.append(table(both.select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("partial")), "partial"))
     return reduce(DataFrame.union, partial).groupBy("a", "b").agg(F.sum("partial").alias("shared"))
@@ -164,7 +165,7 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     drop(full)
 
     rows = prefixed.select("rep", "n", F.posexplode("prefix").alias("at", "shingle"))
-    lists = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
+    lists = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("m")).where("m > 1")
     posted = table(rows.join(lists, "shingle"), "posted")
     drop(prefixed)
     few = posted.where(F.col("m") <= SMALL).select("shingle", "rep", "n", "at")
@@ -172,8 +173,13 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     # sizes and positions must allow the similarity; of a similar pair's first common shingle they do
     fits = f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - ia, nb - ib) - 1) >= {percent} * (na + nb)"
     pairs = a.join(b, "shingle").where(fits).select("a", "b").distinct()
+    # the pivot is the class with the largest share of common shingles in its prefix: the least edited of near copies
+    hot = posted.where(F.col("m") > SMALL)
+    share = F.count("*") / (F.first("n") + 1 - F.ceil(F.first("n") * percent / 100))
+    hot = hot.join(hot.groupBy("rep").agg(share.alias("s")), "rep")
+    pivots = hot.groupBy("shingle").agg(F.max(F.struct("s", "rep"))["rep"].alias("g"))
     # i: the first place of any shingle that put x into the group; what x shares with a member begins there or later
-    groups = table(posted.where(F.col("m") > SMALL).groupBy(F.col("pivot").alias("g"), F.col("rep").alias("x")).agg(F.first("n").alias("n"), F.min("at").alias("i")), "groups")
+    groups = table(hot.join(pivots, "shingle").groupBy("g", F.col("rep").alias("x")).agg(F.first("n").alias("n"), F.min("at").alias("i"), F.first("s").alias("s")), "groups")
     pairs = table(pairs.union(groups.where("g != x").select(F.least("g", "x"), F.greatest("g", "x"))).distinct(), "pairs")
     drop(posted)
 
@@ -200,14 +206,14 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
         far = (
             groups.join(seen.select(F.col("a").alias("g"), F.col("b").alias("x"), "d").union(seen.select("b", "a", "d")), ["g", "x"], "left")
             .join(comp.toDF("x", "cx"), "x").join(comp.toDF("g", "cg"), "g")
-            .select("g", "x", "n", "i", F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"), "cx", "cg")
+            .select("g", "x", "n", "i", "s", F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"), "cx", "cg")
         )
         far = table(far.withColumn("band", _band("n", percent)), "far")
         rest = far.where("cx != cg")
         if rest.isEmpty():
             drop(far)
             break
-        outer = rest.toDF("g", "x", "nx", "ix", "dx", "cx", "cg", "band")
+        outer = rest.drop("s").toDF("g", "x", "nx", "ix", "dx", "cx", "cg", "band")
         around = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
         inner = far.where("cx = cg").select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("d").alias("dy"), around)
         across = outer.join(inner, ["g", "band"]).where(_near(percent))
@@ -216,9 +222,8 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
             across = across.select("x", "y").union(outer.join(other, ["g", "band"]).where(f"x < y and cx != cy and {_near(percent)}").select("x", "y"))
         done = seen.select("a", "b")
         new = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b")
-        heads = rest.groupBy("g", "cx").agg(F.min("x").alias("head"))
-        heads = heads.groupBy("g").agg(F.min("head").alias("head"))
-        before, groups = groups, table(rest.join(heads, "g").groupBy(F.col("head").alias("g"), "x").agg(F.first("n").alias("n"), F.min("i").alias("i")), "groups")
+        heads = rest.groupBy("g").agg(F.max(F.struct("s", "x"))["x"].alias("head"))
+        before, groups = groups, table(rest.join(heads, "g").groupBy(F.col("head").alias("g"), "x").agg(F.first("n").alias("n"), F.min("i").alias("i"), F.first("s").alias("s")), "groups")
         stars = groups.where("g != x").select(F.least("g", "x").alias("a"), F.greatest("g", "x").alias("b"))
         todo = table(new.union(stars).distinct().join(done, ["a", "b"], "left_anti"), "todo")
         drop(before, far)
