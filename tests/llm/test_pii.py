@@ -32,6 +32,14 @@ def test_base_equals_the_expressions():
     assert P.base_spans(long)[0][0] == "email"
 
 
+def test_contexts_are_whole_words():
+    assert P.contexts("one Two 1.2.3.4 three four", 8, 15) == ["L two", "LL one two", "R three"]
+    long = "w" * 41
+    assert P.contexts(f"one {long} 1.2.3.4 {long}", 46, 53) == [] and P.contexts(f"{long} two 1.2.3.4 x", 46, 53) == ["L two", "R x"]
+    assert P.contexts("1.2.3.4", 0, 7) == [] and P.contexts("a" * 500 + " bb 1.2.3.4 " + "c" * 500, 504, 511) == ["L bb"]
+    assert P.contexts("a" * 40 + " " + "b" * 40 + " 1.2.3.4 " + "c" * 40, 82, 89) == ["L " + "b" * 40, "LL " + "a" * 40 + " " + "b" * 40, "R " + "c" * 40]
+
+
 def test_bootstrap_discovers(spark):
     r = random.Random(6)
     rows = [(i, f"Some words here, member-login: u{r.random()}@mail.org and then more words about the {i} weather") for i in range(40)]

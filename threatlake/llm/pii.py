@@ -5,7 +5,8 @@ bootstrap: the words beside them are contexts, and contexts of at least `SEEDS`
 texts are read, once for each slice of `PATTERNS` patterns, for how often each pattern's words occur, and which identifier-like tokens without a base span stand in
 a pattern. On this graph of patterns and instances Spark iterates: a pattern is as good as the share of its occurrences
 that hold good instances, an instance is as good as its patterns together. Tokens in patterns of at least `CONFIDENCE`
-become spans of the kind `other`; base spans are never changed.
+become spans of the kind `other`; base spans are never changed. Candidates are tokens of 5 to 80 characters with an ASCII
+digit; words of more than 40 characters are no contexts.
 
 Null texts count as empty. Rows with equal ids and texts have equal results; an empty table gives an empty one; columns
 other than the key and the text are ignored. Scanning is linear in the length of a text.
@@ -71,12 +72,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns that a span stands in: the word before, the two before, the word after."""
-    left, right = text[max(0, start - 2 * LONGEST) : start].lower().split()[-2:], text[end : end + LONGEST].lower().split()[:1]
+    """The patterns that a span stands in: the word before, the two before, the word after; only whole words of at most LONGEST."""
+    x, y = max(0, start - 2 * LONGEST - 2), end + LONGEST + 1
+    left, right = text[x:start].lower().split(), text[end:y].lower().split()
+    if left and x and not text[x - 1].isspace() and not text[x].isspace():
+        left = left[1:]  # cut by the window
+    if len(right) == 1 and y < len(text) and not text[y - 1].isspace() and not text[y].isspace():
+        right = []
+    left, right = left[-2:], right[:1]
+    if left and len(left[-1]) > LONGEST:
+        left = []
     out = [f"L {left[-1]}"] if left else []
-    if len(left) == 2:
+    if len(left) == 2 and len(left[0]) <= LONGEST:
         out.append(f"LL {left[0]} {left[1]}")
-    return out + [f"R {w}" for w in right]
+    return out + [f"R {w}" for w in right if len(w) <= LONGEST]
 
 
 def joined(spans) -> str:
@@ -188,7 +197,7 @@ def _confident(seeds: DataFrame, scan: DataFrame) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, h, n_<kind>, base_sha256, spans) of every row; h tells texts of equal ids apart."""
+    """(key, h, n_<kind>, n_other, base_sha256, spans) of every row; h tells texts of equal ids apart."""
     rows = _keyed(docs, key, text)
     base = table(_base(rows), "base")
     seeds = base.select(F.inline("seeds"))
@@ -200,12 +209,12 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     if scan is not None:
         more = scan.where("n is null").join(_confident(seeds, scan), "pattern").select("id", "h", "start", "end").distinct()
         more = more.groupBy("id", "h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda x: F.concat(F.lit("other:"), x["start"], F.lit(":"), x["end"])), ",").alias("more"))
-        more = more.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "more")
+        more = more.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "more", F.size(F.split("more", ",")).cast("long").alias("n_other"))
         out = out.join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").drop("_id", "_h")
         out = out.withColumn("spans", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "more"))
     else:
-        out = out.withColumn("spans", F.col("base"))
-    return out.select(F.col("id").alias(key), "h", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+        out = out.withColumns({"spans": F.col("base"), "n_other": F.lit(0).cast("long")})
+    return out.select(F.col("id").alias(key), "h", *(f"n_{k}" for k in KINDS), F.coalesce("n_other", F.lit(0).cast("long")).alias("n_other"), "base_sha256", "spans")
 
 
 def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,5 +243,6 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's personal data."""
-    return personal_data(read(spark, sf_dir, "documents")).drop("h")
+    """Every document's personal data, with the number of all its spans."""
+    found = personal_data(read(spark, sf_dir, "documents")).drop("h")
+    return found.withColumn("n_spans", sum((F.col(f"n_{k}") for k in (*KINDS, "other")), F.lit(0).cast("long")))
