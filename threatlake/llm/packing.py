@@ -47,7 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　﻿]", *added])).search
+        self.whole = re.compile("|".join(["[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]", *added])).search
         self.chunks = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+").findall
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -156,15 +156,14 @@ def solve(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     need = np.maximum(left, 1).astype(float)
     total = float((left * np.arange(capacity + 1)).sum()) / capacity
     share, covered, x = total / STEPS, np.zeros(capacity + 1), {}
-    if share >= 1:
-        for _ in range(STEPS):
-            weight = np.where(there, np.exp(-RATE * (covered - covered[there].min())), 0.0)
-            config = best_configuration(weight / need, capacity)
-            a = np.bincount(config, minlength=capacity + 1)
-            # no configuration is taken more often than its scarcest length allows
-            step = min(share, float((need[a > 0] / a[a > 0]).min()))
-            covered += a * step / need
-            x[tuple(sorted(config, reverse=True))] = x.get(tuple(sorted(config, reverse=True)), 0.0) + step
+    for _ in range(STEPS):
+        weight = np.where(there, np.exp(-RATE * (covered - covered[there].min())), 0.0)
+        config = best_configuration(weight / need, capacity)
+        a = np.bincount(config, minlength=capacity + 1)
+        # no configuration is taken more often than its scarcest length allows
+        step = min(share, float((need[a > 0] / a[a > 0]).min()))
+        covered += a * step / need
+        x[tuple(sorted(config, reverse=True))] = x.get(tuple(sorted(config, reverse=True)), 0.0) + step
     for config, v in sorted(x.items(), key=lambda z: (-z[1], z[0])):
         a = np.bincount(config, minlength=capacity + 1)
         n = min(int(v), int((left[a > 0] // a[a > 0]).min()))
