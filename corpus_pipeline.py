@@ -14,10 +14,15 @@ from threatlake.llm import common, language_id, ngram_join, packing, pii
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; `und` goes."""
+    """Documents in a language that the network knows; `und`, that is null texts and texts without a letter, goes.
+
+    All other rows stay as they are, repeated ones and those without an id included.
+    """
     common.bounded_batches(spark)
     network = language_id.fit(language_id.training_rows(docs.select("doc_id", "text", "lang")))
-    return language_id.languages(docs, network).where("lang_pred != 'und'").select(*docs.columns)
+    mine = docs.toDF(*(f"_{c}" for c in docs.columns))  # so that no column has the name of a prediction
+    found = language_id.languages(mine, network, "_doc_id", "_text").where("lang_pred != 'und'")
+    return found.select(*mine.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

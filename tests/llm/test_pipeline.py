@@ -24,6 +24,19 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in C.run(spark, sf).select("doc_id").distinct().collect()} == before.keys()
 
 
+def test_clashing_columns_equal_ids_and_long_texts(spark):
+    """Columns named as predictions keep their values; an id with two texts is two documents; a long text goes through."""
+    rows = [(1, "one two three four five six seven", 0.25, "kept"), (1, "other words that are not the same at all here", 0.5, "kept"), (2, "one two three four five six seven", 1.0, "gone"), (3, "some long text of words " * 20_000, 2.0, "kept")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), x, y) for i, t, x, y in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    at = docs
+    for _, stage in C.STAGES[:3]:
+        at = stage(spark, at, "")
+        assert at.columns == docs.columns
+    assert sorted((r.doc_id, r.score, r.lang_pred) for r in at.collect()) == [(1, 0.25, "kept"), (1, 0.5, "kept"), (3, 2.0, "kept")]
+    packed = C.pack(spark, at, "").collect()
+    assert {r.doc_id for r in packed} == {1, 3} and all(r.length <= 2048 for r in packed)
+
+
 def test_edges(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     text = "one two three four five six seven"
