@@ -62,6 +62,18 @@ def test_bootstrap_discovers(spark):
     assert P.personal_data(df.where("false")).count() == 0 and P.masked(df.where("false")).columns == df.columns
 
 
+def test_keys_need_a_pattern(spark):
+    """Keys are found where a context holds mostly keys, and left alone elsewhere."""
+    r = random.Random(7)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'Some text {i} about it. token = "{key()}" and so on') for i in range(30)] + [(100 + i, f"the sum of{i} was {key()} here{i}") for i in range(3)] + [(200, "token of thanks 12345")]
+    got = {x.doc_id: x for x in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:30]:
+        at = t.index('"') + 1
+        assert got[i].spans == f"other:{at}:{at + 40}" and got[i].n_other == 1 and got[i].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert all(got[i].n_other == 0 and got[i].spans == "" for i in (100, 101, 102, 200))
+
+
 def test_query(spark, sf):
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = P.op7_pii(spark, sf).collect()

@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline as C
 from test_ngram_join import brute
 
@@ -19,7 +21,7 @@ def test_stages(spark, sf):
             assert now.keys() == {i for i, (_, c) in brute(sorted(before.items())).items() if i == c}
         if name == "pii":
             assert not any(pii.base_spans(t) for t in now.values()) and now.keys() == before.keys()
-            assert all(now[i] == t for i, t in before.items() if not pii.base_spans(t))
+            assert all(now[i] == t for i, t in before.items() if not pii.base_spans(t) and not re.search(pii.KEY, t))
         before = now
     assert {r.doc_id for r in C.run(spark, sf).select("doc_id").distinct().collect()} == before.keys()
 

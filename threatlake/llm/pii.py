@@ -1,7 +1,8 @@
 """Operator 7: personal data by patterns and by bootstrapped contexts.
 
-The base finds e-mail addresses, IP addresses, payment cards and phone numbers by their form. These are the seeds of a
-bootstrap: the words beside them are contexts, and contexts of at least `SEEDS` different seeds become patterns. All
+The base finds e-mail addresses, IP addresses, payment cards and phone numbers by their form. These, and long hexadecimal
+keys, are the seeds of a bootstrap (keys are no base spans; as spans they need a pattern like any other token): the words
+beside them are contexts, and contexts of at least `SEEDS` different seeds become patterns. All
 texts are read, once for each slice of `PATTERNS` patterns, for how often each pattern's words occur, and which identifier-like tokens without a base span stand in
 a pattern. On this graph of patterns and instances Spark iterates: a pattern is as good as the share of its occurrences
 that hold good instances, an instance is as good as its patterns together. Tokens in patterns of at least `CONFIDENCE`
@@ -35,6 +36,9 @@ _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _ip = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+").finditer
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
+#: A long key of digits and small letters up to f.
+KEY = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,80}(?![0-9A-Za-z])"
+_keys = re.compile(KEY).finditer
 _digits = re.compile(r"[0-9]+").finditer
 
 
@@ -72,7 +76,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns that a span stands in: the word before, the two before, the word after; only whole words of at most LONGEST."""
+    """The patterns that a span stands in: the word before, the two before, the word after; only whole words of at most LONGEST.
+
+    What adjoins the span without a space, such as quotes, belongs to it here.
+    """
+    x, y = start, end
+    while x and x > start - LONGEST and not text[x - 1].isspace():
+        x -= 1
+    while y < len(text) and y < end + LONGEST and not text[y].isspace():
+        y += 1
+    if (x and not text[x - 1].isspace()) or (y < len(text) and not text[y].isspace()):
+        return []
+    start, end = x, y
     x, y = max(0, start - 2 * LONGEST - 2), end + LONGEST + 1
     left, right = text[x:start].lower().split(), text[end:y].lower().split()
     if left and x and not text[x - 1].isspace() and not text[x].isspace():
@@ -106,7 +121,7 @@ def _base(rows: DataFrame) -> DataFrame:
                 counts.append(Counter(k for k, _, _ in found))
                 spans.append(joined(found))
                 shas.append(hashlib.sha256(spans[-1].encode()).hexdigest())
-                seeds.append([{"pattern": p, "instance": t[x:y].lower()} for _, x, y in found for p in contexts(t, x, y)])
+                seeds.append([{"pattern": p, "instance": t[x:y].lower()} for x, y in [*((x, y) for _, x, y in found), *(m.span() for m in _keys(t))] for p in contexts(t, x, y)])
             n = [pa.array([c[k] for c in counts], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *n, pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(seeds, pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string())])))], names)
 
@@ -186,7 +201,8 @@ def _confident(seeds: DataFrame, scan: DataFrame) -> DataFrame:
     """(pattern, score) after the rounds of scoring patterns and instances by each other."""
     totals = scan.where("n is not null").groupBy("pattern").agg(F.sum("n").alias("total"))
     patterns = table(totals.join(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")), "pattern"), "patterns")
-    edges = table(scan.where("n is null").groupBy("pattern", "instance").agg(F.count("*").alias("times")), "edges")
+    # keys count as seeds already
+    edges = table(scan.where(F.col("n").isNull() & ~F.col("instance").rlike(KEY)).groupBy("pattern", "instance").agg(F.count("*").alias("times")), "edges")
     score = patterns.select("pattern", (F.col("seeds") / (F.greatest("total", "seeds") + 2)).alias("score"))
     for _ in range(ROUNDS):
         instances = edges.join(score, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("good"))
