@@ -71,6 +71,15 @@ def drop(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Most rows of narrow tables (keys and numbers) that are broadcast, some 20 MB.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_ROWS rows; rows: how many it has, or a bound of that."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def remainder(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatlake.llm.common import blocks, components, drop, read, sum_arrays, table
+from threatlake.llm.common import blocks, bounded, components, drop, read, sum_arrays, table
 
 #: Buckets of the hashed document frequencies (4 MB), and fragments of the global order.
 BUCKETS, FRAGMENTS = 1 << 20, 4
@@ -136,7 +136,8 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     Each step moves and writes its own fragments only, so that what is on disk at once doesn't hold whole sets of both sides.
     """
     partial = []
-    a, b = (pairs.select(F.col(k).alias("rep")).distinct() for k in "ab")
+    n = pairs.count()
+    a, b = (bounded(pairs.select(F.col(k).alias("rep")).distinct(), n) for k in "ab")
     for f in range(0, FRAGMENTS, TOGETHER):
         some = parts.where(F.col("fragment").between(f, f + TOGETHER - 1))
         left = some.join(a, "rep", "left_semi").select(F.col("rep").alias("a"), "fragment", F.col("part").alias("pa"))
@@ -186,7 +187,7 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     wanted = table(classes.join(wanted, "rep").select("rep", "id", "h"), "wanted")
     same = docs.id.eqNullSafe(wanted.id) & (docs.h == wanted.h)
-    parts = table(fragments(docs.join(wanted, same).select("rep", "text").dropDuplicates(["rep"]), shared, words), "parts", ("fragment",))
+    parts = table(fragments(docs.join(bounded(wanted, wanted.count()), same).select("rep", "text").dropDuplicates(["rep"]), shared, words), "parts", ("fragment",))
     drop(wanted)
     size = classes.select("rep", "n")
 
