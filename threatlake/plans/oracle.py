@@ -31,7 +31,7 @@ _SURFACE = "concat_ws(' ', nullif(uri_query, ''), nullif(original_message, ''))"
 _TARGET = f"regexp_extract({_SURFACE}, {quoted('(?i)' + rules.REDIRECTS)}, 1)"
 _HOST = f"lower(regexp_extract({_TARGET}, '^https?://([^/?#:]*)', 1))"
 CODED = {
-    "jwt_manipulation": " UNION ALL ".join(f"{_HEAD}'jwt_manipulation' AS rule_name, '{f}' AS matched_field, substr({f}, 1, 200) AS evidence FROM ev WHERE regexp_matches({f}, {quoted(rules.JWT)}, 'i')" for f in ("original_message",)),
+    "jwt_manipulation": _signature(rules.Rule("jwt_manipulation", "", "auth_access", "", 0.0, "", rules.PQM, (rules.JWT,))),
     "csrf_indicator": f"{_HEAD}'csrf_indicator' AS rule_name, 'referrer' AS matched_field, http_method || ' cross-origin from ' || substr(referrer, 1, 100) || ' with missing token' AS evidence FROM ev "
     f"WHERE http_method = 'POST' AND starts_with(referrer, 'http') AND NOT regexp_matches(referrer, '^https?://([^/]*[.])?corp[.]example(/|$)') AND NOT regexp_matches({_SURFACE}, '{rules.TOKENS}', 'i')",
     "broken_function_auth": f"{_HEAD}'broken_function_auth' AS rule_name, 'uri_path' AS matched_field, '200 OK on admin path: ' || substr(lower(uri_path), 1, 100) AS evidence FROM ev WHERE http_status BETWEEN 200 AND 299 AND ({_ADMIN})",
