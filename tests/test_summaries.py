@@ -88,3 +88,19 @@ def test_quotes_line_breaks_and_encodings(spark, tmp_path):
         (tmp_path / name).write_bytes(text.encode(code))
         got = [(r.src_ip, r.uri, r.username) for r in files.parse(spark, str(tmp_path / name)).orderBy("row_number").collect()]
         assert got == [("1.2.3.4", '/a?q="x", y', "amy"), ("5.6.7.8", "two\nlines", "bj\u00f6rn")], name
+
+
+def test_validator(spark, tmp_path):
+    def found(name, text):
+        (tmp_path / name).write_bytes(text.encode("latin-1"))
+        return files.validate(spark, str(tmp_path / name))
+
+    good = found("a.csv", 'src,port\n1.2.3.4,22\n"x\ny",23\n')
+    assert (good["rows"], good["columns"], good["delimiter"], good["encoding"], good["has_header"], good["errors"], good["warnings"]) == (2, 2, ",", "UTF-8", True, [], [])
+    odd = found("b.txt", "a;;c\n1;2;3\n1;2\n1;2;3;4\n\xe9;2;3\n")
+    assert odd["warnings"] == ["not a .csv file", "blank headers at [1]", "2 rows of another width: [3, 4]"] and odd["encoding"] == "ISO-8859-1" and odd["rows"] == 4
+    assert found("c.csv", "")["errors"] == ["empty"] and found("d.csv", "one\n")["errors"] == ["a header and a row are needed"]
+    assert not files.is_header(["1", "a"], ["2", "b"]) and not files.is_header(["a", "b"], ["c", "d"]) and files.is_header(["a", " "], ["c", "1,000"])
+    listed = files.catalogue(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1]: (r.valid, r.sha256 is not None) for r in listed.collect()} == {"a.csv": (True, True), "b.txt": (True, True), "d.csv": (True, True)}
+    assert files.storage_stats(listed).first().files == 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ ALIASES = {
     "user_agent": ["user_agent", "useragent", "ua"], "referrer": ["referrer", "referer"], "dst_host": ["dst_host", "host", "hostname"],
 }
 ACCESS = r'(?:^|\]: *)([0-9A-Fa-f.:-]+)[ ,]+([0-9A-Fa-f.:-]+)(?:[ ,]+\S+)*? +(\S+) +\S+ +\S+ +\[?([0-9]{1,2}/[A-Za-z]{3}/[0-9]{4}:[0-9:]{8} [+-][0-9]{4})\]? +"([A-Z]+) (\S+)(?: [^"]*)?" ([0-9]{3}) (\S+)(?: +\S+)?(?: +"([^"]*)")?(?: +"([^"]*)")?'
-LARGEST, DELIMITERS = 500 * 1024 * 1024, ",;\t|"
+LARGEST, DELIMITERS, NAME_LENGTH, SAMPLE_COLUMNS = 500 * 1024 * 1024, ",;\t|", 50, 20
 # End of the fixed values.
 
 
@@ -36,23 +38,74 @@ def encoding(head: bytes) -> str:
         return "ISO-8859-1"
 
 
-def read_rows(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """(format, rows with row_number): `delimited` with one string column a field, or `lines` with logevent."""
+def _opened(spark: SparkSession, path: str) -> tuple[str, list[str], Callable[[], DataFrame]]:
+    """(encoding, first lines, reader of undivided lines) of a file."""
     # lines as they are on disk; the text reader doesn't decode them
     raw = [bytes(r[0]) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(200).collect()]
     charset = encoding(b"\n".join(raw) + b"\n\n\n")
     text = lambda: spark.read.csv(path, sep="\x00", quote="", header=False, schema="value string", encoding=charset, multiLine=charset.startswith("UTF-16"))
-    head = [(r[0] or "").lstrip("\ufeff") for r in text().limit(5).collect()]
+    return charset, [(r[0] or "").lstrip("\ufeff") for r in text().limit(5).collect()], text
+
+
+def _csv(spark: SparkSession, path: str, sep: str, charset: str, **more) -> DataFrame:
+    return spark.read.csv(path, sep=sep, mode="PERMISSIVE", escape='"', multiLine=True, encoding=charset, **more)
+
+
+def read_rows(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """(format, rows with row_number): `delimited` with one string column a field, or `lines` with logevent."""
+    charset, head, text = _opened(spark, path)
     first = head[0] if head else ""
     order = F.monotonically_increasing_id()
     if first.lstrip('"').startswith("<") and ("HTTP/" in first or "httpd[" in first):
         lines = text().where("trim(value) != ''").select(F.regexp_replace(F.regexp_replace("value", '^"(<.*)"$', "$1"), '""', '"').alias("logevent"))
         return "lines", lines.select((order + 1).alias("row_number"), "logevent")
-    rows = spark.read.csv(path, header=True, sep=delimiter(head), mode="PERMISSIVE", enforceSchema=False, escape='"', multiLine=True, encoding=charset)
+    rows = _csv(spark, path, delimiter(head), charset, header=True, enforceSchema=False)
     clean = [F.col(f"`{c}`").alias(c.strip().strip("|").strip().lower()) for c in rows.columns]
     return "delimited", rows.select((order + 2).alias("row_number"), *clean)
 
 
+def _numeric(cell: str) -> bool:
+    try:
+        float(cell.replace(",", ""))
+        return True
+    except ValueError:
+        return False
+
+
+def is_header(first: list[str], second: list[str]) -> bool:
+    """Whether the first row names columns: short cells without numbers, over a row that has a number; blanks don't count."""
+    return all(not _numeric(c) and len(c) < NAME_LENGTH for c in first if c.strip()) and any(_numeric(c) for c in second if c.strip())
+
+
+def validate(spark: SparkSession, path: str) -> dict:
+    """What is found of a file: bytes, encoding, delimiter, rows without the first, columns, has_header, sample_columns,
+    errors and warnings. Its content is only read if the size allows; rows are counted by Spark."""
+    found: dict = {"bytes": 0, "errors": [], "warnings": [] if path.lower().endswith(".csv") else ["not a .csv file"]}
+    sizes = [r[0] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    found["bytes"] = sum(sizes)
+    if not 0 < found["bytes"] <= LARGEST:
+        return found | {"errors": ["empty" if not found["bytes"] else "too large"]}
+    charset, head, _ = _opened(spark, path)
+    sep = delimiter(head)
+    top = [[c or "" for c in r] for r in _csv(spark, path, sep, charset, header=False).limit(2).collect()]
+    found |= {"encoding": charset, "delimiter": sep}
+    if len(top) < 2:
+        return found | {"rows": len(top), "errors": ["a header and a row are needed"]}
+    names = [c.lstrip("\ufeff") for c in top[0]]
+    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "bad string"])
+    rows = _csv(spark, path, sep, charset, header=False, schema=schema, columnNameOfCorruptRecord="bad")
+    # the digest makes the reader parse all columns, without which it doesn't see how many there are
+    rows = rows.select((F.monotonically_increasing_id() + 1).alias("row"), F.col("bad").isNotNull().alias("ragged"), F.xxhash64(*rows.columns[:-1]).alias("digest"))
+    n, ragged, _ = rows.agg(F.count("*"), F.count_if(F.col("ragged") & (F.col("row") > 1)), F.bit_xor("digest")).first()
+    blank = [i for i, c in enumerate(names) if not c.strip()]
+    if blank:
+        found["warnings"].append(f"blank headers at {blank}")
+    if ragged:
+        at = [r[0] for r in rows.where("ragged and row > 1").orderBy("row").limit(10).collect()] if ragged <= 10 else []
+        found["warnings"].append(f"{ragged} rows of another width" + (f": {at}" if at else ""))
+    return found | {"rows": n - 1, "columns": len(names), "has_header": is_header(*top), "sample_columns": names[:SAMPLE_COLUMNS]}
+
+
 def resolve(columns: list[str]) -> dict[str, str]:
     """Field to column, by alias, whatever the case."""
     known = {c.lower(): c for c in columns}
@@ -97,6 +150,13 @@ def row_hash(columns: list[str]) -> Column:
 
 
 def catalogue(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """(path, bytes, modified, sha256, valid) of the files of a folder; files over the limit aren't valid."""
+    """(path, bytes, modified, sha256, valid) of the files of a folder; files over the limit aren't valid, and aren't read; Spark lists no empty ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
-    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), F.col("length").between(1, LARGEST).alias("valid"))
+    columns = ["path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")]
+    fits = files.where(F.col("length") <= LARGEST).select(*columns, F.sha2("content", 256).alias("sha256"), F.lit(True).alias("valid"))
+    return fits.union(files.where(F.col("length") > LARGEST).select(*columns, F.lit(None).cast("string"), F.lit(False)))
+
+
+def storage_stats(files: DataFrame) -> DataFrame:
+    """One row: how many files of a catalogue there are, their bytes, and megabytes to two decimals."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.round(F.coalesce(F.sum("bytes"), F.lit(0)) / (1 << 20), 2).alias("megabytes"))
