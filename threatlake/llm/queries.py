@@ -17,6 +17,7 @@ MODULES = {
     "op8_best_fit_packing": "packing",
     "op9_sentencepiece": "piece_sampling",
     "op10_language_id": "language_id",
+    "op11_importance_resampling": "importance",
 }
 
 
