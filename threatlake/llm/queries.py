@@ -18,6 +18,7 @@ MODULES = {
     "op9_sentencepiece": "piece_sampling",
     "op10_language_id": "language_id",
     "op11_importance_resampling": "importance",
+    "op12_token_alignment": "token_alignment",
 }
 
 
