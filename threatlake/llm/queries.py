@@ -19,6 +19,7 @@ MODULES = {
     "op10_language_id": "language_id",
     "op11_importance_resampling": "importance",
     "op12_token_alignment": "token_alignment",
+    "op13_secret_scan": "secret_scan",
 }
 
 
