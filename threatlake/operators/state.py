@@ -15,6 +15,7 @@ EXPLOIT = ["sql_injection", "cross_site_scripting", "os_command_injection", "pat
 POST_EXPLOIT = ["sensitive_information_disclosure", "hardcoded_credentials", "hardcoded_credential_exposure", "arbitrary_file_read"]
 SCANNERS = "sqlmap|nikto|nuclei|dirbuster|gobuster|wfuzz|ffuf|burp|nmap|acunetix|nessus"
 TIMELINE, AGENTS = 200, 50
+STAGES, LAST_STAGE = "recon \u2192 exploit", " \u2192 post-exploitation"
 # End of the fixed values.
 
 
@@ -69,29 +70,32 @@ def actors(events: DataFrame, threats: DataFrame, batch: str = "batch") -> DataF
     return stats.join(agents, "src_ip", "left").join(scores(threats, batch), "src_ip", "left")
 
 
-def correlations(actors: DataFrame) -> DataFrame:
-    """One row for each source and correlation rule that holds; a projection of the actors."""
+def correlations(actors: DataFrame, keys: tuple = ("src_ip",)) -> DataFrame:
+    """One row for each source (of `keys`) and correlation rule that holds, with its evidence as a map; a projection of the actors."""
     cats = F.coalesce("categories", F.array().cast("array<string>"))
     has = lambda of: F.arrays_overlap(cats, F.array(*map(F.lit, of)))
     n = F.size("rates")
     first, last = F.get("rates", n - 3), F.get("rates", n - 1)
     scanners = F.filter(F.coalesce("agents", F.array().cast("array<string>")), lambda a: F.lower(a).rlike(SCANNERS))
     night = F.size(F.filter(F.coalesce("timeline", F.slice("timeline", 1, 0)), lambda x: F.hour(x["at"]) < 6))
+    listed = lambda x: F.array_join(x, ", ")
+    stages = F.concat(F.lit(STAGES), F.when(has(POST_EXPLOIT), LAST_STAGE).otherwise(""))
 
-    def found(rule, category, severity, confidence, when, *parts):
+    def found(rule, category, severity, confidence, when, parts, **evidence):
         text = F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-        return F.when(when, F.struct(F.lit(rule).alias("correlation_rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), text.alias("description")))
+        pairs = [x for k, v in evidence.items() for x in (F.lit(k), v.cast("string"))]
+        return F.when(when, F.struct(F.lit(rule).alias("correlation_rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), text.alias("description"), F.create_map(*pairs).alias("evidence")))
 
     c = F.col
-    return actors.select("src_ip", F.inline(F.array_compact(F.array(
-        found("low_slow_brute_force", "broken_authentication", "high", 0.85, c("auth_failures") >= 50, c("auth_failures"), " auth failures across ", c("batches"), " batches"),
-        found("distributed_recon", "recon_scanner", "high", 0.8, (c("unique_uris") >= 200) & (c("batches") >= 2), c("unique_uris"), " unique URIs across ", c("batches"), " batches"),
-        found("multi_vector_attacker", "multi_vector_attack", "critical", 0.9, F.size(cats) >= 3, F.size(cats), " attack types"),
-        found("kill_chain_progression", "kill_chain", "critical", 0.9, has(RECON) & has(EXPLOIT), "recon to exploit", F.when(has(POST_EXPLOIT), " to post-exploitation").otherwise("")),
-        found("scanner_persistence", "recon_scanner", "high", 0.9, (F.size(scanners) > 0) & (c("batches") >= 3), "Scanner persists across ", c("batches"), " batches"),
-        found("rate_acceleration", "rate_limiting", "medium", 0.7, (n >= 3) & (last >= 2 * first) & (last > 50), first, " to ", last, " requests across the last 3 batches"),
-        found("off_hours_anomaly", "suspicious_timing", "medium", 0.6, night >= 5, night, " attack events between 00:00 and 06:00"),
-        found("data_exfiltration_pattern", "data_exfiltration", "high", 0.6, (F.size(cats) > 0) & (c("auth_successes") > 100) & (c("requests") > 200) & (c("auth_successes") / c("requests") > 0.5) & (c("threat_score") > 0.3), c("auth_successes"), " successful requests by an attacker"),
+    return actors.select(*keys, F.inline(F.array_compact(F.array(
+        found("low_slow_brute_force", "broken_authentication", "high", 0.85, c("auth_failures") >= 50, ("Low-and-slow brute force: ", c("auth_failures"), " auth failures across ", c("batches"), " batches"), auth_failures=c("auth_failures"), batches=c("batches")),
+        found("distributed_recon", "recon_scanner", "high", 0.8, (c("unique_uris") >= 200) & (c("batches") >= 2), ("Distributed recon: ", c("unique_uris"), " unique URIs across ", c("batches"), " batches"), unique_uris=c("unique_uris")),
+        found("multi_vector_attacker", "multi_vector_attack", "critical", 0.9, F.size(cats) >= 3, ("Multi-vector: ", F.size(cats), " attack types (", listed(F.slice(cats, 1, 5)), ")"), categories=listed(cats)),
+        found("kill_chain_progression", "kill_chain", "critical", 0.9, has(RECON) & has(EXPLOIT), ("Kill-chain: ", stages), stages=stages, categories=listed(cats)),
+        found("scanner_persistence", "recon_scanner", "high", 0.9, (F.size(scanners) > 0) & (c("batches") >= 3), ("Scanner persists across ", c("batches"), " batches"), scanner_uas=listed(F.slice(scanners, 1, 3))),
+        found("rate_acceleration", "rate_limiting", "medium", 0.7, (n >= 3) & (last >= 2 * first) & (last > 50), ("Rate acceleration: ", first, " \u2192 ", last, " requests across last 3 batches"), rates=listed(F.slice("rates", F.greatest(n - 2, F.lit(1)), F.lit(3)).cast("array<string>"))),
+        found("off_hours_anomaly", "suspicious_timing", "medium", 0.6, night >= 5, (night, " attack events during off-hours (00:00-06:00)"), off_hours_count=night),
+        found("data_exfiltration_pattern", "data_exfiltration", "high", 0.6, (F.size(cats) > 0) & (c("auth_successes") > 100) & (c("requests") > 200) & (c("auth_successes") / c("requests") > 0.5) & (c("threat_score") > 0.3), ("Potential data exfil: attacker with ", c("auth_successes"), " successful requests"), success_count=c("auth_successes"), threat_score=F.round("threat_score", 9)),
     ))))
 
 

@@ -74,8 +74,8 @@ def described(port: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1,023 as bytes, else in the largest of KB, MB and GB, with one decimal."""
-    scaled = lambda k, unit: F.format_string(f"%.1f {unit}", n / float(1 << k))
+    """1,023 as bytes, else in the largest of KB, MB and GB, with one decimal; halves go to the even digit."""
+    scaled = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(n / float(1 << k), 1))
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, scaled(10, "KB")).when(n < 1 << 30, scaled(20, "MB")).otherwise(scaled(30, "GB"))
 
 
