@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threatlake.functions import net, text
 from threatlake.operators import chunks, detect, incidents, mitre, normalize, rules, state, summaries
 from threatlake.plans.adapter import events
-from threatlake.plans.oracle import oracle_sql
+from threatlake.plans import days, oracle
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -153,7 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "actor_batch_stats": lambda s, d: state.batch_stats(events(s, d)).withColumn("batch", F.col("batch").cast("string")),
         "actor_totals": lambda s, d: _actors(s, d).select("src_ip", "batches", "requests", "auth_failures", "auth_successes", "unique_uris", "first_seen", "last_seen", F.array_join(F.transform("rates", lambda x: x.cast("string")), ",").alias("rates")),
         "threat_scores": lambda s, d: _actors(s, d).select("src_ip", F.array_join("categories", ",").alias("categories"), F.round("threat_score", 9).alias("threat_score")),
-        "correlations": lambda s, d: state.correlations(_actors(s, d)),
+        "correlations": lambda s, d: state.correlations(_actors(s, d)).drop("evidence"),
         "day_summary": lambda s, d: state.day_summary(_actors(s, d)),
         "category_breakdown": lambda s, d: state.category_breakdown(_actors(s, d)),
         "hourly_timeline": lambda s, d: state.hourly_timeline(_actors(s, d)),
@@ -165,4 +165,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dedup_by_hash": lambda s, d: s.read.parquet(f"{d}/documents.parquet").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")),
         "rollup_actors": lambda s, d: incidents.rollup(_chunks(s, d)).withColumn("risk_score", F.round("risk_score", 6)),
         "geo_range_join": geo_range_join,
-    }
+    } | days.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql() | days.oracle_sql()

@@ -164,14 +164,14 @@ def oracle_sql() -> dict[str, str]:
 _HAS = lambda names: f"len(list_intersect(categories, {names})) > 0"
 #: (rule, category, severity, confidence, condition, description) over actors.
 _FINDINGS = [
-    ("low_slow_brute_force", "broken_authentication", "high", 0.85, "auth_failures >= 50", "auth_failures || ' auth failures across ' || batches || ' batches'"),
-    ("distributed_recon", "recon_scanner", "high", 0.8, "unique_uris >= 200 AND batches >= 2", "unique_uris || ' unique URIs across ' || batches || ' batches'"),
-    ("multi_vector_attacker", "multi_vector_attack", "critical", 0.9, "len(categories) >= 3", "len(categories) || ' attack types'"),
-    ("kill_chain_progression", "kill_chain", "critical", 0.9, f"{_HAS(state.RECON)} AND {_HAS(state.EXPLOIT)}", f"'recon to exploit' || CASE WHEN {_HAS(state.POST_EXPLOIT)} THEN ' to post-exploitation' ELSE '' END"),
+    ("low_slow_brute_force", "broken_authentication", "high", 0.85, "auth_failures >= 50", "'Low-and-slow brute force: ' || auth_failures || ' auth failures across ' || batches || ' batches'"),
+    ("distributed_recon", "recon_scanner", "high", 0.8, "unique_uris >= 200 AND batches >= 2", "'Distributed recon: ' || unique_uris || ' unique URIs across ' || batches || ' batches'"),
+    ("multi_vector_attacker", "multi_vector_attack", "critical", 0.9, "len(categories) >= 3", "'Multi-vector: ' || len(categories) || ' attack types (' || array_to_string(categories[1:5], ', ') || ')'"),
+    ("kill_chain_progression", "kill_chain", "critical", 0.9, f"{_HAS(state.RECON)} AND {_HAS(state.EXPLOIT)}", f"'Kill-chain: recon \u2192 exploit' || CASE WHEN {_HAS(state.POST_EXPLOIT)} THEN ' \u2192 post-exploitation' ELSE '' END"),
     ("scanner_persistence", "recon_scanner", "high", 0.9, "scanner AND batches >= 3", "'Scanner persists across ' || batches || ' batches'"),
-    ("rate_acceleration", "rate_limiting", "medium", 0.7, "len(rates) >= 3 AND rates[-1] >= 2 * rates[-3] AND rates[-1] > 50", "rates[-3] || ' to ' || rates[-1] || ' requests across the last 3 batches'"),
-    ("off_hours_anomaly", "suspicious_timing", "medium", 0.6, "night >= 5", "night || ' attack events between 00:00 and 06:00'"),
-    ("data_exfiltration_pattern", "data_exfiltration", "high", 0.6, "len(categories) > 0 AND auth_successes > 100 AND requests > 200 AND auth_successes / requests > 0.5 AND threat_score > 0.3", "auth_successes || ' successful requests by an attacker'"),
+    ("rate_acceleration", "rate_limiting", "medium", 0.7, "len(rates) >= 3 AND rates[-1] >= 2 * rates[-3] AND rates[-1] > 50", "'Rate acceleration: ' || rates[-3] || ' \u2192 ' || rates[-1] || ' requests across last 3 batches'"),
+    ("off_hours_anomaly", "suspicious_timing", "medium", 0.6, "night >= 5", "night || ' attack events during off-hours (00:00-06:00)'"),
+    ("data_exfiltration_pattern", "data_exfiltration", "high", 0.6, "len(categories) > 0 AND auth_successes > 100 AND requests > 200 AND auth_successes / requests > 0.5 AND threat_score > 0.3", "'Potential data exfil: attacker with ' || auth_successes || ' successful requests'"),
 ]
 FOUND = "findings AS (" + " UNION ALL ".join(f"SELECT src_ip, '{r}' AS correlation_rule, '{c}' AS category, '{s}' AS severity, {p}::DOUBLE AS confidence, {d} AS description FROM actors WHERE {w}" for r, c, s, p, w, d in _FINDINGS) + ")"
 _TEXTS = f"texts(rule_name, description) AS (VALUES {values((r.name, r.description) for r in rules.EVERY.values())})"
