@@ -1,19 +1,22 @@
 """Entity-centred time windows that start at an event, their profiles, temporal pattern, filter and rank.
 
 A window starts at the entity's first event and holds every event up to start + width, that included; the next event
-starts the next one. A gap of more than a width always separates windows, so window functions cut the events into
-segments first, and only within a segment the starts are found in order.
+starts the next one. So a start's successor is a known event, whatever came before: the first one later than start +
+width. The starts of an entity are found by a fold over its distinct times in an array, or, where these are more than
+LONG, by pointers that are composed with themselves round by round.
+
+Time is cut into cells of one width. A cell holds one start at most, and an event's window begins in its own cell or in
+the one before, so events find their window by an equality join with the cells, which are few beside the events.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatlake.functions import net
 from threatlake.functions.text import filled
+from threatlake.sources.workspace import written
 
 # Window widths in minutes, ports that matter.
 STRATEGIES = {"src_ip": 15, "dst_host": 30, "user": 120}
@@ -21,27 +24,102 @@ SUSPICIOUS_PORTS = [22, 23, 3389, 445, 135, 139]
 # End of the fixed values.
 
 
+#: Most distinct times of an entity that one array holds (0.8 MB), starts that a fold appends to before it begins a new
+#: list, and most rows of cells (keys and two numbers) that are broadcast.
+LONG, PART, BROADCAST_ROWS = 100_000, 256, 200_000
+
+
+def _cell(at: Column, width: Column) -> Column:
+    """Where the cell of a time begins."""
+    return at - F.pmod(at, width)
+
+
+def _short_starts(times: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, width, s): the starts of entities whose times fit into an array."""
+    kind = "struct<last: bigint, some: array<bigint>, full: array<array<bigint>>>"
+    none = F.struct(F.lit(None).cast("bigint"), F.array().cast("array<bigint>"), F.array().cast("array<array<bigint>>")).cast(kind)
+    by = times.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("x"), F.first("width").alias("width"))
+
+    def step(a, t):
+        room = F.size(a["some"]) < PART
+        some = F.when(room, F.concat(a["some"], F.array(t))).otherwise(F.array(t))
+        full = F.when(room, a["full"]).otherwise(F.concat(a["full"], F.array(a["some"])))
+        return F.when(a["last"].isNull() | (t > a["last"] + F.col("width")), F.struct(t.alias("last"), some.alias("some"), full.alias("full")).cast(kind)).otherwise(a)
+
+    starts = F.aggregate("x", none, step, lambda a: F.flatten(F.concat(a["full"], F.array(a["some"]))))
+    return by.select(*keys, "width", F.explode_outer(starts).alias("s"))
+
+
+def _successors(times: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, width, t, next, first): the first time later than t + width, and whether t has no time in the width before it.
+
+    No window runs over more than one cell's times and those of its neighbour; what lies beyond is in a table of cells.
+    """
+    times = times.withColumn("cell", _cell(F.col("t"), F.col("width")))
+    cells = times.groupBy(*keys, "width", "cell").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    order = Window.partitionBy(*keys).orderBy("cell")
+    cells = cells.select(*keys, "cell", F.lead("low").over(order).alias("after"), F.lag("high").over(order).alias("before"))
+    # each time, and each time plus the width, in the cell where it lies; from the latest on
+    points = times.select(*keys, "width", "cell", F.col("t").alias("v"), F.col("t").alias("real"), F.lit(1).alias("kind")).unionByName(
+        times.select(*keys, "width", (F.col("cell") + F.col("width")).alias("cell"), (F.col("t") + F.col("width")).alias("v"), F.lit(None).cast("bigint").alias("real"), F.lit(0).alias("kind"))
+    )
+    here = Window.partitionBy(*keys, "cell").orderBy(F.desc("v"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = points.withColumn("next", F.last("real", True).over(here)).where("kind = 0")
+    found = found.select(*keys, "width", (F.col("v") - F.col("width")).alias("t"), (F.col("cell") - F.col("width")).alias("cell"), "next")
+    # without one in the next cell it is the first time of the first cell after that
+    later = cells.select(*keys, F.col("cell").alias("cell"), "after")
+    after_next = later.withColumnsRenamed({"cell": "c2", "after": "after2"})
+    joined = found.join(later, [*keys, "cell"], "left").withColumn("c2", F.col("cell") + F.col("width")).join(after_next, [*keys, "c2"], "left")
+    beyond = F.when(F.col("after") >= F.col("c2") + F.col("width"), F.col("after")).otherwise(F.col("after2"))
+    out = joined.select(*keys, "width", "t", F.coalesce("next", beyond).alias("next"))
+    firsts = times.groupBy(*keys, "width", "cell").agg(F.min("t").alias("t")).join(cells.select(*keys, "cell", "before"), [*keys, "cell"])
+    # a gap of more than a width always ends a cell's times
+    firsts = firsts.where(F.col("before").isNull() | (F.col("t") - F.col("before") > F.col("width"))).select(*keys, "t", F.lit(True).alias("first"))
+    return out.join(firsts, [*keys, "t"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+
+
+def _long_starts(times: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, width, s) for any number of times of an entity, dealt over all tasks by entity and time.
+
+    Starts that are known (first: those after gaps) and the pointers are advanced together: after k rounds the pointers
+    skip 2^k windows and all starts up to that far from a known one are found. Each round is written.
+    """
+    pointers = written(_successors(times, keys), "pointers")
+    starts = written(pointers.where("first").select(*keys, "width", "t"), "starts")
+    jump = pointers.where("next is not null").select(*keys, "t", "next")
+    n = starts.count()
+    while True:
+        reached = starts.join(jump, [*keys, "t"]).select(*keys, "width", F.col("next").alias("t"))
+        starts = written(starts.unionByName(reached).distinct(), "starts")
+        before, n = n, starts.count()
+        if n == before:
+            return starts.withColumnRenamed("t", "s")
+        twice = jump.alias("x").join(jump.toDF(*keys, "next", "then"), [*keys, "next"]).select(*keys, F.col("x.t").alias("t"), F.col("then").alias("next"))
+        jump = written(twice, "pointers")
+
+
+def starts(rows: DataFrame, keys: list[str], at: str, width: str) -> DataFrame:
+    """(keys, width, s) of every entity's windows."""
+    times = written(rows.select(*keys, F.col(at).cast("bigint").alias("t"), F.col(width).cast("bigint").alias("width")).where("t is not null").distinct(), "times")
+    sizes = times.groupBy(*keys).count().where(F.col("count") > LONG).select(*keys)
+    if sizes.isEmpty():
+        return _short_starts(times, keys)
+    sizes = written(sizes, "sizes")  # few: each stands for more than LONG times
+    same = lambda how: times.alias("a").join(F.broadcast(sizes.alias("b")) if sizes.count() <= BROADCAST_ROWS else sizes.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how).select("a.*")
+    return _short_starts(same("left_anti"), keys).unionByName(_long_starts(same("left_semi"), keys))
+
+
 def anchored_windows(rows: DataFrame, keys: list[str], at: str, width: str) -> DataFrame:
-    """Adds window_start; `at` and the column `width` are numbers of the same unit."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    times = rows.select(*keys, at, width).distinct()
-    gap = F.coalesce(F.col(at) - F.lag(at).over(w) > F.col(width), F.lit(False)).cast("long")
-    times = times.withColumn("gap", gap).withColumn("segment", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + f", `{at}` bigint, window_start bigint"
-
-    def starts(group: pa.Table) -> pa.Table:
-        t = np.sort(group.column(at).to_numpy())
-        span = group.column(width)[0].as_py()
-        out, i = np.empty(len(t), np.int64), 0
-        while i < len(t):
-            j = int(np.searchsorted(t, t[i] + span, side="right"))
-            out[i:j] = t[i]
-            i = j
-        head = [pa.array([group.column(k)[0].as_py()] * len(t), group.schema.field(k).type) for k in keys]
-        return pa.Table.from_arrays([*head, pa.array(t, pa.int64()), pa.array(out)], [*keys, at, "window_start"])
-
-    found = times.groupBy(*keys, "segment").applyInArrow(starts, schema)
-    return rows.join(found, [*keys, at])
+    """Adds window_start; `at` and the column `width` are numbers of the same unit. Rows with a null key or time are left out."""
+    s, w = F.col("s"), F.col("width")
+    rows = rows.dropna(subset=[*keys, at])
+    both = F.array(F.struct(_cell(s, w).alias("cell"), s.alias("own"), F.lit(None).cast("bigint").alias("last")), F.struct((_cell(s, w) + w).alias("cell"), F.lit(None).cast("bigint").alias("own"), s.alias("last")))
+    cells = starts(rows, keys, at, width).select(*keys, F.inline(both)).groupBy(*keys, F.col("cell").alias("_cell")).agg(F.max("own").alias("_own"), F.max("last").alias("_last"))
+    cells = written(cells, "cells")
+    if cells.count() <= BROADCAST_ROWS:
+        cells = F.broadcast(cells)
+    out = rows.withColumn("_cell", _cell(F.col(at).cast("bigint"), F.col(width).cast("bigint"))).join(cells, [*keys, "_cell"])
+    return out.withColumn("window_start", F.when(F.col(at) >= F.col("_own"), F.col("_own")).otherwise(F.col("_last"))).drop("_cell", "_own", "_last")
 
 
 def indexed(events: DataFrame, strategies: dict[str, int] = STRATEGIES, unit: int = 60_000_000) -> DataFrame:
