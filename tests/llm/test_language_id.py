@@ -37,3 +37,9 @@ def test_edges(spark):
     assert got[:3] == [("1", "und"), ("2", "und"), ("3", "und")] and all(x in ("en", "de") for _, x in got[3:])
     none = L.fit(df.where("false"))
     assert {r.lang_pred for r in L.languages(df, none).collect()} == {"und"} and L.languages(df.where("false"), none).count() == 0
+
+
+def test_numbers_are_no_letters(spark):
+    texts = ["²", "12 ½", "Ⅷ ①", "_ 5 ٣", "ª", "日", "ﬁ"]
+    n = L.Network(["en", "de"])
+    assert [x == "und" for x, _ in n.predict(texts, n.tables())] == [True, True, True, True, False, False, False]

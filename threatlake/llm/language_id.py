@@ -12,11 +12,11 @@ rows give repeated results; an empty table gives an empty one; columns other tha
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from threatlake.llm.common import read, remainder
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
 #: Most labelled texts that the network is fitted on, windows of each, and passes over them.
 SAMPLE, PER_TEXT, EPOCHS, BATCH, RATE = 2400, 2, 6, 64, 0.01
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search  # not `²`, `½` or `Ⅷ`, which are numbers
 _is_letter = np.zeros(256, bool)
 _is_letter[ord("a") : ord("z") + 1] = _is_letter[0x80:] = True
 
