@@ -61,6 +61,46 @@ def test_changes(spark):
     assert (got["a"].status, got["a"].priority, len(got["a"].timeline)) == ("closed", "low", 3) and (got["b"].status, got["b"].priority, got["b"].timeline) == ("new", "low", None)
 
 
+def test_changes_of_one_time_and_a_second_call(spark):
+    i = spark.createDataFrame([("a", "new", "high"), ("b", "new", "low")], "incident_id string, status string, priority string")
+    c = spark.createDataFrame([("a", 1, "closed", None), ("a", 1, "triaged", None), ("a", 1, "new", "low")], "incident_id string, changed_at int, status string, priority string")
+    once = incidents.changed(i, c)
+    assert [r.status for r in once.where("incident_id = 'a'").collect()] == ["triaged"]
+    twice = {r.incident_id: r for r in incidents.changed(once, spark.createDataFrame([("a", 2, "closed", None), ("b", 5, None, "high")], c.schema)).collect()}
+    assert (twice["a"].status, len(twice["a"].timeline), twice["b"].priority, len(twice["b"].timeline)) == ("closed", 4, "high", 1)
+
+
+def test_byte_sizes_round_half_to_even(spark):
+    got = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 272_640, 273_152, 272_691, 1 << 20, 5 << 30)], "n long").select(summaries.human_bytes(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["0 B", "1023 B", "1.0 KB", "266.2 KB", "266.8 KB", "266.3 KB", "1.0 MB", "5.0 GB"]
+
+
+def test_addresses_as_the_library_writes_them(spark):
+    import ipaddress
+    import random
+
+    r = random.Random(6)
+    parts = ["0", "00", "0000", "1", "db8", "ffff", "2001", "abcd", "0a0B", "12345", "g", "", "1.2.3.4", "255.255.255.255", "1.2.3.256"]
+    raw = [":".join(r.choice(parts[:9] if r.random() < 0.8 else parts) for _ in range(r.choice([3, 7, 8, 8, 8, 9]))) for _ in range(3000)]
+    for _ in range(4000):
+        x, y = ([r.choice(parts[:9]) for _ in range(r.randint(0, 5))] for _ in range(2))
+        raw.append(":".join(x) + "::" + ":".join(y) + (":1.2.3.4" if y and r.random() < 0.2 else ""))
+    raw += ["::", "::1", "1::", "::ffff:0:0", "::ffff:1.2.3.4", "::FFFF:102:304", "0:0:0:0:0:ffff:1.2.3.4", "64:ff9b::1.2.3.4", "[2001:db8::1]", "fe80::1%eth0", "1::2::3", ":::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "12:34:56", " ::1 ", "::1.2.3.4", "::ffff:01.2.3.4"]
+
+    def want(x):
+        try:
+            a = ipaddress.IPv6Address(x.strip().strip("[]").partition("%")[0])
+        except ValueError:
+            return None
+        return str(a.ipv4_mapped or a)
+
+    got = spark.createDataFrame([(x,) for x in raw], "x string").select("x", net.canonical_v6(F.col("x")).alias("y")).collect()
+    wrong = [(g.x, g.y, want(g.x)) for g in got if g.y != want(g.x)]
+    assert not wrong, wrong[:5]
+    plan = spark.createDataFrame([("1.2.3.4",)], "x string").select(net.normalize_ip(F.col("x")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_addresses(spark):
     raw = ["10:21:33", "::::", "2001:DB8::0:1", "::ffff:1.2.3.4", "[fe80::1%eth0]", "2606:4700::1111", "::1", "x 5.6.7.8 y", None, "-"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(net.normalize_ip(F.col("x"))).collect()]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 QUAD = r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$"
 
@@ -58,19 +58,53 @@ def is_global(ip: Column) -> Column:
     return (n.isNotNull() & ~(in_networks(n, PRIVATE) & ~in_networks(n, PUBLIC_WITHIN_PRIVATE)) & ~in_networks(n, SHARED)) | F.coalesce(v6_class(ip) == "global", F.lit(False))
 
 
-@F.pandas_udf(StringType())
-def canonical_v6(raw: pd.Series) -> pd.Series:
-    """The canonical text of an IPv6 address, without a zone; null for what isn't one."""
-    import ipaddress
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once; used as a plain column it would be copied to each place."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _undotted(t: Column) -> Column:
+    """An address whose dotted end is written as two groups; null if that is no dotted quad."""
+
+    def ended(dotted: Column) -> Column:
+        octet = lambda i: F.split(dotted, r"\.")[i].cast("int")
+        two = lambda i: F.lower(F.conv((octet(i) * 256 + octet(i + 1)).cast("string"), 10, 16))
+        return F.when(~dotted.contains("."), t).when(dotted.rlike(QUAD), F.concat(F.regexp_replace(t, r"[0-9.]+$", ""), two(0), F.lit(":"), two(2)))
+
+    return _let(F.regexp_extract(t, r":([0-9.]+)$", 1), ended)
+
+
+def _eight(halves: Column) -> Column:
+    """The eight groups of an address that is split at `::`; null if there are more or fewer."""
+    none = F.array().cast("array<string>")
+    groups = lambda h: F.when(h.isNull() | (h == ""), none).otherwise(F.split(h, ":"))
+
+    def filled(x: Column) -> Column:
+        left, right, known = x["left"], x["right"], F.size(x["left"]) + F.size(x["right"])
+        whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - known, F.lit(0))), right)
+        return F.when(((x["n"] == 1) & (known == 8)) | ((x["n"] == 2) & (known <= 7)), whole)
+
+    return _let(F.struct(groups(F.get(halves, F.lit(0))).alias("left"), groups(F.get(halves, F.lit(1))).alias("right"), F.size(halves).alias("n")), filled)
+
+
+def _shortened(plain: Column) -> Column:
+    """Eight groups without leading zeros, with the first longest run of zeros as `::`; mapped addresses dotted."""
+    runs = [rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$" for n in range(8, 1, -1)]
+    short = F.coalesce(*(F.when(plain.rlike(p), F.regexp_replace(plain, p, "$1::$2")) for p in runs), plain)
+
+    def quad(mapped: Column) -> Column:
+        half = lambda i: F.conv(F.split(mapped, ":")[i], 16, 10).cast("int")
+        return F.when(mapped != "", F.concat_ws(".", *(x.cast("string") for i in (0, 1) for x in (F.floor(half(i) / 256), half(i) % 256)))).otherwise(short)
+
+    return _let(F.regexp_extract(plain, "^0:0:0:0:0:ffff:([0-9a-f]+:[0-9a-f]+)$", 1), quad)
 
-    def one(x):
-        try:
-            a = ipaddress.IPv6Address(x.strip().strip("[]").partition("%")[0])
-        except (ValueError, AttributeError):
-            return None
-        return str(a.ipv4_mapped or a)
 
-    return raw.map(one)
+def canonical_v6(raw: Column) -> Column:
+    """The canonical text of an IPv6 address, without brackets and zone; null for what isn't one."""
+    bare = F.split(F.regexp_replace(F.trim(raw), r"^[\[\]]+|[\[\]]+$", ""), "%")[0]
+    t = F.lower(F.regexp_replace(bare, "[\u212a\u0130]", "?"))  # characters whose lower case is ASCII
+    plain = lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(g, lambda x: F.regexp_replace(x, "^0+(?=.)", "")), ":"))
+    return _let(_let(_let(_let(t, _undotted), lambda u: _eight(F.split(u, "::"))), plain), _shortened)
 
 
 def v6_class(ip: Column) -> Column:
@@ -81,7 +115,7 @@ def v6_class(ip: Column) -> Column:
 
 def normalize_ip(raw: Column) -> Column:
     """The address of a raw field: a dotted quad, trimmed, without the mapped prefix, or an IPv6 address in canonical form,
-    or the first dotted quad inside; null if there is none. Only fields with two colons leave the JVM."""
+    or the first dotted quad inside; null if there is none. Nothing leaves the JVM."""
     text = F.regexp_replace(F.trim(raw), "(?i)^::ffff:(?=[0-9]+[.])", "")
     inner = F.regexp_extract(text, r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^0-9.]|$)", 1)
     return F.when(text.rlike(QUAD), text).when(F.length(text) - F.length(F.replace(text, F.lit(":"))) >= 2, canonical_v6(text)).otherwise(F.when(inner.rlike(QUAD), inner))

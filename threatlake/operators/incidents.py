@@ -97,13 +97,18 @@ def of_file(incidents: DataFrame, files: str, file_id: str) -> DataFrame:
 def changed(incidents: DataFrame, changes: DataFrame) -> DataFrame:
     """Incidents after their latest changes. changes: incident_id, changed_at, and status or priority, null where unchanged.
 
-    Changes are folded by id before they meet the incidents, so a rewrite reads each incident once.
+    Changes are folded by id before they meet the incidents, so a rewrite reads each incident once. Of changes at one time
+    the largest values count last. A timeline that is there is continued.
     """
-    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("changed_at"))).alias(f"_{c}") for c in ("status", "priority")]
-    steps = F.array_sort(F.collect_list(F.struct("changed_at", "status", "priority"))).alias("timeline")
-    folded = changes.groupBy("incident_id").agg(*latest, steps)
+    order = F.struct("changed_at", "status", "priority")
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("changed_at", c))).alias(f"_{c}") for c in ("status", "priority")]
+    folded = changes.groupBy("incident_id").agg(*latest, F.array_sort(F.collect_list(order)).alias("_timeline"))
     out = incidents.join(folded, "incident_id", "left")
-    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("status", "priority")}).drop("_status", "_priority")
+    before = ["timeline"] if "timeline" in incidents.columns else []
+    none = F.array().cast(folded.schema["_timeline"].dataType)
+    whole = F.concat(*(F.coalesce(c, none) for c in [*before, "_timeline"]))
+    kept = F.when(F.coalesce("_timeline", *before).isNotNull(), whole)
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("status", "priority")} | {"timeline": kept}).drop("_status", "_priority", "_timeline")
 
 
 def rows_as_json(incidents: DataFrame) -> DataFrame:

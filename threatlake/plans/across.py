@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from threatlake.operators import chunks, lookups, rollups, strides
 from threatlake.plans import oracle
 from threatlake.plans.adapter import EV, events
+from threatlake.sources.raw_store import FileTable, RawStore
+from threatlake.sources.workspace import new_folder
 
 
 def overlapping_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +68,31 @@ def cross_file_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.cross_file_patterns(_chunks_of_files(spark, sf))
 
 
+def raw_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as raw files of seven days; half of them are put twice."""
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    day = F.expr("timestamp'2024-01-01 12:00:00' + make_interval(0, 0, 0, cast(page_id % 7 as int))")
+    rows = p.select(F.col("page_id").cast("string").alias("file_id"), F.concat(F.lit("page "), F.col("page_id"), F.lit(".html")).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"), day.alias("uploaded_at"))
+    store = RawStore(spark, new_folder(spark, "raw"))
+    store.put(rows)
+    store.put(rows.where("cast(file_id as bigint) % 2 = 0"))
+    out = store.verify(store.listed())
+    return out.select("file_id", "name", "bytes", "sha256", F.col("day").cast("string").alias("day"), "intact")
+
+
+def file_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as files; orders change their status and counts in two batches, in order of their keys."""
+    table = FileTable(spark, new_folder(spark, "table"))
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    table.upsert(c.select(F.concat(F.lit("f"), "c_custkey").alias("file_id"), F.col("c_name").alias("filename"), F.lit("uploaded").alias("status")))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("f"), "o_custkey").alias("file_id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderkey")).alias("events_created"), F.col("o_orderkey").alias("step"))
+    for k in range(2):
+        table.upsert(o.where(F.col("step") % 2 == k), order="step")
+    return table.rows().select("file_id", "filename", "status", F.col("events_created").cast("string").alias("events_created"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (overlapping_chunks, cache_lookups, file_reports, approx_unique_targets, rollup_files, cross_file_patterns)}
+    return {f.__name__: f for f in (overlapping_chunks, cache_lookups, file_reports, approx_unique_targets, rollup_files, cross_file_patterns, raw_store, file_table)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -101,4 +126,11 @@ SELECT * EXCLUDE (score), round(score, 6) AS risk_score, score >= 70 AS high_ris
         "cross_file_patterns": f"""{files}, p AS (SELECT pattern, unnest(ports) AS port, file_id, entity, denied FROM of)
 SELECT pattern, port, count(DISTINCT file_id) AS files, count(DISTINCT entity) AS actors, count(*) AS chunks, CAST(sum(denied) AS BIGINT) AS denied, min(file_id) AS first_file, max(file_id) AS last_file
 FROM p GROUP BY pattern, port HAVING count(DISTINCT file_id) >= 2""",
+        "raw_store": """SELECT CAST(page_id AS VARCHAR) AS file_id, 'page_' || page_id || '.html' AS name, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS sha256,
+  '2024-01-0' || (1 + page_id % 7) AS day, true AS intact FROM pages""",
+        "file_table": """WITH o AS (
+  SELECT o_custkey, o_orderstatus, CASE WHEN o_orderpriority LIKE '1%' THEN o_orderkey END AS n, o_orderkey % 2 * 1000000000000 + o_orderkey AS step FROM orders
+), last AS (SELECT 'f' || o_custkey AS file_id, arg_max(o_orderstatus, step) AS status, arg_max(n, step) FILTER (n IS NOT NULL) AS n FROM o GROUP BY 1
+) SELECT coalesce(l.file_id, 'f' || c_custkey) AS file_id, c_name AS filename, coalesce(l.status, 'uploaded') AS status, CAST(l.n AS VARCHAR) AS events_created
+  FROM customer FULL JOIN last l ON l.file_id = 'f' || c_custkey""",
     }

@@ -26,23 +26,35 @@ def delimiter(head: list[str]) -> str:
     return DELIMITERS[counts.index(max(counts))]
 
 
-def encoding(head: bytes) -> str:
+MARKS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"))
+
+
+def encoding(content: bytes) -> str:
     """By byte order mark, then UTF-8, else Latin-1."""
-    for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
-        if head.startswith(mark):
+    for mark, name in MARKS:
+        if content.startswith(mark):
             return name
     try:
-        head[: len(head) - 3].decode()
+        content.decode()
         return "UTF-8"
     except UnicodeDecodeError:
         return "ISO-8859-1"
 
 
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """encoding() of a whole file, whose lines are tested by all tasks until the first that isn't UTF-8."""
+    # lines as they are on disk; the text reader doesn't decode them
+    lines = spark.read.text(path)
+    first = lines.select(F.col("value").cast("binary")).first()
+    for mark, name in MARKS:
+        if first and bytes(first[0]).startswith(mark):
+            return name
+    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+
+
 def _opened(spark: SparkSession, path: str) -> tuple[str, list[str], Callable[[], DataFrame]]:
     """(encoding, first lines, reader of undivided lines) of a file."""
-    # lines as they are on disk; the text reader doesn't decode them
-    raw = [bytes(r[0]) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(200).collect()]
-    charset = encoding(b"\n".join(raw) + b"\n\n\n")
+    charset = encoding_of(spark, path)
     text = lambda: spark.read.csv(path, sep="\x00", quote="", header=False, schema="value string", encoding=charset, multiLine=charset.startswith("UTF-16"))
     return charset, [(r[0] or "").lstrip("\ufeff") for r in text().limit(5).collect()], text
 
