@@ -140,21 +140,33 @@ def phrases(path: Column) -> Column:
 def http_analysis(windows: DataFrame) -> DataFrame:
     """One row for each chunk: methods, a histogram of statuses, suspicious paths in order, agents and attack phrases.
 
-    Lists are cut by row numbers within the chunk before they are gathered; the histogram is summed by status first.
+    The windows are read once. An event is a few pairs of kind and value, which are counted by chunk, kind and value; so a
+    chunk with most rows is dealt over its values. Lists are cut by row numbers before anything is gathered. Suspicious
+    paths keep their place in time, and stand once for each phrase that they hold.
     """
-    w = windows.select(*KEYS, "t_us", "row_number", "http_method", "http_status", "uri_path", F.substring("user_agent", 1, AGENT_LENGTH).alias("agent"), phrases(F.col("uri_path")).alias("found"))
-    by = [F.col(k) for k in KEYS]
-    first = lambda *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    methods = w.where("http_method <> ''").groupBy(*KEYS).agg(F.array_sort(F.collect_set("http_method")).alias("methods"))
-    statuses = w.where("http_status <> 0").groupBy(*KEYS, "http_status").count().groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("http_status", "count")))).alias("statuses"))
-    odd = w.where("size(found) > 0").select(*KEYS, "t_us", "row_number", "uri_path", F.posexplode("found").alias("at", "indicator"))
-    uris = odd.withColumn("k", first("t_us", "row_number", "at")).where(F.col("k") <= URIS).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "uri_path"))), lambda x: x["uri_path"]).alias("suspicious_uris"))
-    indicators = odd.groupBy(*KEYS).agg(F.array_sort(F.collect_set("indicator")).alias("indicators"))
-    agents = w.where("agent <> ''").select(*KEYS, "agent").distinct().withColumn("k", first("agent")).where(F.col("k") <= AGENTS).groupBy(*KEYS).agg(F.array_sort(F.collect_list("agent")).alias("agents"))
-    out = w.select(*KEYS).distinct()
-    for part in (methods, statuses, uris, indicators, agents):
-        out = out.join(part, KEYS, "left")
-    return out
+    pair = lambda kind, value, place=None: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), (F.lit(None) if place is None else place).cast("struct<t: bigint, row: bigint, at: int>").alias("place"))
+    odd = lambda x, i: pair("uri", F.col("uri_path"), F.struct("t_us", F.col("row_number").cast("bigint"), i))
+    pairs = F.concat(
+        F.array_compact(F.array(
+            F.when(F.col("http_method") != "", pair("method", F.col("http_method"))), F.when(F.col("http_status") != 0, pair("status", F.col("http_status"))),
+            F.when(F.col("agent") != "", pair("agent", F.col("agent"))), pair("event", F.lit("")),
+        )),
+        F.transform("found", odd), F.transform("found", lambda x: pair("indicator", x)),
+    )
+    w = windows.select(*KEYS, "t_us", "row_number", "http_method", "http_status", "uri_path", F.substring("user_agent", 1, AGENT_LENGTH).alias("agent"), phrases(F.coalesce("uri_path", F.lit(""))).alias("found"))
+    # a path that stands twice at one place in time and rows is one row that repeats: each counts
+    counts = w.select(*KEYS, F.inline(pairs)).groupBy(*KEYS, "kind", "value", "place").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*KEYS, "kind").orderBy("place", "value")
+    most = F.when(F.col("kind") == "agent", AGENTS).when(F.col("kind") == "uri", URIS)
+    kept = counts.withColumn("k", F.row_number().over(order)).where(most.isNull() | (F.col("k") <= most))
+    of = lambda kind, item: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))
+    by = kept.groupBy(*KEYS).agg(
+        of("method", F.col("value")).alias("methods"), of("status", F.struct(F.col("value").cast("int").alias("key"), F.col("n").alias("value"))).alias("statuses"),
+        of("uri", F.struct("k", "value", "n")).alias("uris"), of("indicator", F.col("value")).alias("indicators"), of("agent", F.col("value")).alias("agents"),
+    )
+    some = lambda c, x=None: F.when(F.size(c) > 0, F.col(c) if x is None else x)
+    uris = F.slice(F.flatten(F.transform("uris", lambda u: F.array_repeat(u["value"], u["n"].cast("int")))), 1, URIS)
+    return by.select(*KEYS, some("methods").alias("methods"), some("statuses", F.map_from_entries("statuses")).alias("statuses"), some("uris", uris).alias("suspicious_uris"), some("indicators").alias("indicators"), some("agents").alias("agents"))
 
 
 def dns_analysis(rows: DataFrame, key: str, query: str) -> DataFrame:

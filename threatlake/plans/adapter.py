@@ -20,7 +20,7 @@ PAYLOADS = [
     ("/files", "x=1&filename=/etc/hosts", AGENT), ("/go", "next=https://evil.example/login", AGENT), ("/account/style.css", "", AGENT), ("/echo", "h=X-Forwarded-Host: a&i=X-Forwarded-For: b", AGENT),
     ("/index.html", "", "sqlmap/1.5"), ("/index.html", "", "PhantomJS/2.1"), ("/index.html", "", "Googlebot 2.1"), ("/index.html", "", "ZmEu"), ("/spring", "class.module.classLoader.x=1", AGENT),
     ("/index.html", "", "() { :; }; /bin/bash"), ("/struts", "x=%{(#_memberAccess=1)}", AGENT), ("/cgi-bin/test.cgi", "", AGENT), ("/export/all", "", AGENT), ("/admin/panel", "", AGENT), ("/login", "user=bob", AGENT),
-    ("/session", "token=eyJhbGciOiJub25lIn0.eyJzdWIiOiJhZG1pbiJ9.x", AGENT),
+    ("/session", "token=eyJhbGciOiJub25lIn0.eyJzdWIiOiJhZG1pbiJ9.x", AGENT), ("/q/union select pass", "", AGENT), ("/a/../b/<script>x</script>", "", AGENT),
 ]
 SITE, PORTAL = "https://shop.example.net/form", "https://portal.corp.example/home"
 HOSTS, PORTS, REFUSED = ["prod-web", "stage-api", "dev-box"], [22, 80, 443, 3389, 445, 53, 3306, 8080], [401, 403, 404, 429, 500]

@@ -81,7 +81,7 @@ def chunk_context(spark: SparkSession, sf: str) -> DataFrame:
 def http_analysis(spark: SparkSession, sf: str) -> DataFrame:
     c = summaries.http_analysis(_windows(spark, sf))
     statuses = F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
-    return c.select(*summaries.KEYS, statuses.alias("statuses"), *(F.array_join(k, ",").alias(k) for k in ("methods", "agents", "indicators")))
+    return c.select(*summaries.KEYS, statuses.alias("statuses"), *(F.array_join(k, ",").alias(k) for k in ("methods", "agents", "indicators")), F.array_join("suspicious_uris", " ").alias("suspicious_uris"))
 
 
 def incidents_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,6 +109,12 @@ def geo_range_join(spark: SparkSession, sf: str) -> DataFrame:
     return incidents.locate(events(spark, sf).select("src_ip"), networks, "src_ip").groupBy("src_ip", "country").agg(F.count("*").alias("events"))
 
 
+def technique_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Every technique with its relatives, and how many threats of the events map to it."""
+    found = mitre.map_findings(_threats(spark, sf)).groupBy("technique_id").agg(F.count("*").alias("threats"))
+    return mitre.technique_context(spark).join(found, "technique_id", "left").withColumn("threats", F.coalesce("threats", F.lit(0)))
+
+
 def page_xss_scan(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/pages.parquet")
     return p.select("page_id", F.col("html").rlike(r"(?i)<\s*script[^>]*>").alias("script"), F.col("html").rlike(r"(?i)javascript\s*:").alias("script_url"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<\s*(?:img|svg|iframe|object|embed)\s"), F.lit(0))).cast("long").alias("embeds"))
@@ -142,7 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_context": chunk_context,
         "http_analysis": http_analysis,
         "status_histogram": lambda s, d: state.status_histogram(events(s, d)).select("src_ip", F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",").alias("statuses")),
-        "technique_context": lambda s, d: mitre.technique_context(s),
+        "technique_context": technique_context,
         "technique_suggestions": technique_suggestions,
         "chunks_multi_index": lambda s, d: _shown(_chunks(s, d)),
         "suspicious_chunks": lambda s, d: _shown(chunks.suspicious(_chunks(s, d))),

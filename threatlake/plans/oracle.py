@@ -142,7 +142,7 @@ def oracle_sql() -> dict[str, str]:
         "top_tactics": f"{THREATS}, {_MAPPED} SELECT x.tactic, count(*) AS incidents FROM mapped m JOIN techniques x USING (technique_id) WHERE m.confidence >= {incidents.LEAST} GROUP BY x.tactic ORDER BY incidents DESC, tactic LIMIT 8",
         "incident_stats": f"{THREATS} SELECT 'new' AS status, CASE severity WHEN 'info' THEN 'informational' ELSE severity END AS priority, count(*) AS incidents FROM threats WHERE confidence >= 0.7 GROUP BY ALL",
         "incidents_per_day": f"{THREATS} SELECT strftime(first_seen + INTERVAL 330 MINUTE, '%d/%m/%Y') AS day, count(*) AS incidents FROM threats WHERE confidence >= {incidents.LEAST} GROUP BY 1",
-        "technique_context": f"WITH {_TECH} SELECT t.technique_id, t.technique, t.tactic, t.parent, p.technique AS parent_name, coalesce((SELECT array_to_string(list(o.technique_id ORDER BY o.technique_id)[1:5], ',') FROM techniques o WHERE o.tactic = t.tactic AND o.parent IS NULL AND o.technique_id <> t.technique_id), '') AS related FROM techniques t LEFT JOIN techniques p ON p.technique_id = t.parent",
+        "technique_context": f"{THREATS}, {_MAPPED}, hits AS (SELECT technique_id, count(*) AS threats FROM mapped GROUP BY technique_id) SELECT t.technique_id, t.technique, t.tactic, t.parent, p.technique AS parent_name, coalesce((SELECT array_to_string(list(o.technique_id ORDER BY o.technique_id)[1:5], ',') FROM techniques o WHERE o.tactic = t.tactic AND o.parent IS NULL AND o.technique_id <> t.technique_id), '') AS related, coalesce(hits.threats, 0) AS threats FROM techniques t LEFT JOIN hits ON hits.technique_id = t.technique_id LEFT JOIN techniques p ON p.technique_id = t.parent",
         "chunks_multi_index": f"{CHUNKS} SELECT {CHUNK_COLUMNS} FROM chunks",
         "suspicious_chunks": f"{CHUNKS} SELECT {CHUNK_COLUMNS} FROM suspicious",
         "temporal_patterns": f"{CHUNKS} SELECT strategy, pattern, count(*) AS chunks FROM chunks GROUP BY ALL",
@@ -218,7 +218,22 @@ def more_sql() -> dict[str, str]:
         "anomaly_score": f"{CHUNKS} SELECT strategy, entity, window_start, {_SCORE} AS anomaly_score, concat_ws('; ', CASE WHEN failure_rate > 0.7 THEN 'High failure rate: ' || {_PCT} END, CASE WHEN targets > 5 THEN 'Scanning behavior: ' || targets || ' targets' END, CASE WHEN events > 100 THEN 'High activity volume: ' || events || ' events' END) AS reasons FROM chunks",
         "chunk_summaries": f"{CHUNKS} SELECT strategy, entity, window_start, strftime(make_timestamp(window_start), '%H:%M') || '\u2013' || strftime(make_timestamp(window_end), '%H:%M') || ' UTC' AS time_window, array_to_string(list_transform(ports[1:15], lambda p: {_SERVED}[p] || ' (' || p || ')'), ',') AS port_descriptions, CASE WHEN per_minute > 10 THEN 'bursty' WHEN per_minute < 0.5 THEN 'random' ELSE 'steady' END AS simple_pattern, CASE WHEN bytes_sent < 1024 THEN bytes_sent || ' B' WHEN bytes_sent < 1048576 THEN format('{{:.1f}} KB', bytes_sent / 1024) WHEN bytes_sent < 1073741824 THEN format('{{:.1f}} MB', bytes_sent / 1048576) ELSE format('{{:.1f}} GB', bytes_sent / 1073741824) END AS bytes_text, CASE strategy WHEN 'dst_host' THEN 'Unknown' ELSE entity END || ' engaged in ' || events || ' events targeting ' || targets || ' target(s) with ' || CASE WHEN per_minute > 10 THEN 'bursty' WHEN per_minute < 0.5 THEN 'random' ELSE 'steady' END || ' pattern (anomaly score: ' || {_SCORE} || ')' AS narrative, coalesce(nullif(concat_ws('; ', CASE WHEN {_SCORE} > 40 THEN 'Monitor for escalation' END, CASE WHEN targets > 10 THEN 'Possible reconnaissance - review firewall rules' END), ''), 'Continue monitoring') AS recommendations FROM chunks",
         "chunk_context": f"{CHUNKS}, {_CONTEXT} SELECT strategy, entity, window_start, CASE WHEN strategy = 'user' THEN entity WHEN strategy = 'src_ip' AND len(users) = 1 THEN users[1] END AS actor_user, CASE WHEN strategy <> 'src_ip' THEN array_to_string(sources, ',') END AS actor_sources, CASE strategy WHEN 'src_ip' THEN first_inside WHEN 'dst_host' THEN all_inside END AS actor_internal, array_to_string(dst_ips, ',') AS dst_ips, array_to_string(dst_hosts, ',') AS dst_hosts, unique_ips, unique_hosts, unique_ports, array_to_string(list_sort(list_distinct(list_transform(ports[1:10], lambda p: {_NAMES}[p]))), ',') AS port_categories, environment FROM who",
-        "http_analysis": f"{CHUNKS}, st AS (SELECT strategy, entity, window_start, http_status, count(*) AS n FROM placed GROUP BY ALL), h AS (SELECT strategy, entity, window_start, array_to_string(list(http_status || ':' || n ORDER BY http_status), ',') AS statuses FROM st GROUP BY ALL) SELECT p.strategy, p.entity, p.window_start, array_to_string(list_sort(list(DISTINCT http_method)), ',') AS methods, any_value(h.statuses) AS statuses, array_to_string(list_sort(list(DISTINCT user_agent))[1:5], ',') AS agents, NULL::VARCHAR AS indicators FROM placed p JOIN h USING (strategy, entity, window_start) GROUP BY p.strategy, p.entity, p.window_start",
+        "http_analysis": f"""{CHUNKS}, phrases(kind, nth, phrase) AS (VALUES
+  ('SQL injection pattern', 1, 'union select'), ('SQL injection pattern', 2, ''' or ''1''=''1'), ('SQL injection pattern', 3, '''; drop table'), ('SQL injection pattern', 4, 'exec('),
+  ('SQL injection pattern', 5, 'xp_cmdshell'), ('SQL injection pattern', 6, 'information_schema'), ('XSS pattern', 1, '<script>'), ('XSS pattern', 2, 'javascript:'), ('XSS pattern', 3, 'onerror='),
+  ('XSS pattern', 4, 'onload='), ('XSS pattern', 5, '<iframe'), ('XSS pattern', 6, '<embed'), ('XSS pattern', 7, 'eval('), ('Path traversal', 1, '../'), ('Path traversal', 2, '..\\'),
+  ('Path traversal', 3, '%2e%2e'), ('Path traversal', 4, '....//'), ('Path traversal', 5, '..\\..\\')
+), found AS (
+  SELECT strategy, entity, window_start, t_us, row_number, uri_path, kind, arg_min(phrase, nth) AS phrase
+  FROM placed JOIN phrases ON contains(CASE kind WHEN 'Path traversal' THEN uri_path ELSE lower(uri_path) END, phrase) GROUP BY ALL
+), st AS (SELECT strategy, entity, window_start, http_status, count(*) AS n FROM placed GROUP BY ALL
+), h AS (SELECT strategy, entity, window_start, array_to_string(list(http_status || ':' || n ORDER BY http_status), ',') AS statuses FROM st GROUP BY ALL
+), o AS (
+  SELECT strategy, entity, window_start, array_to_string(list(uri_path ORDER BY t_us, row_number, list_position(['SQL injection pattern', 'XSS pattern', 'Path traversal'], kind))[1:10], ' ') AS suspicious_uris,
+    array_to_string(list_sort(list(DISTINCT kind || ': ' || phrase)), ',') AS indicators FROM found GROUP BY ALL
+) SELECT p.strategy, p.entity, p.window_start, array_to_string(list_sort(list(DISTINCT http_method)), ',') AS methods, any_value(h.statuses) AS statuses,
+  array_to_string(list_sort(list(DISTINCT user_agent))[1:5], ',') AS agents, any_value(o.indicators) AS indicators, any_value(o.suspicious_uris) AS suspicious_uris
+FROM placed p JOIN h USING (strategy, entity, window_start) LEFT JOIN o USING (strategy, entity, window_start) GROUP BY p.strategy, p.entity, p.window_start""",
         "technique_suggestions": f"{CHUNKS} " + " UNION ALL ".join(f"SELECT strategy, entity, window_start, '{t}' AS technique_id, CAST({c} AS DOUBLE) AS confidence, '{r}' AS reason FROM chunks WHERE {w}" for w, t, c, r in _SUGGESTED),
         "normalize_events": f"WITH {EV} SELECT row_number, md5(concat_ws('|', row_number, event_ts::VARCHAR, src_ip, uri_path || coalesce('?' || uri_query, ''))) AS event_id, event_ts, src_ip, NULL::BIGINT AS src_port, dst_ip, NULL::VARCHAR AS dst_host, dst_port::BIGINT AS dst_port, action, 'TCP' AS protocol, username, bytes_sent, NULL::BIGINT AS bytes_received, NULL::BIGINT AS response_size, starts_with(src_ip, '10.') AS is_internal_src, true AS is_internal_dst, http_method, http_status, uri_path, nullif(split_part(uri_query, '#', 1), '') AS uri_query, user_agent, referrer, substr(http_method || ' ' || uri_path || coalesce('?' || nullif(split_part(uri_query, '#', 1), ''), ''), 1, 2000) AS original_message FROM ev",
         "status_histogram": f"WITH {EV}, c AS (SELECT src_ip, http_status, count(*) AS n FROM ev GROUP BY ALL) SELECT src_ip, array_to_string(list(http_status || ':' || n ORDER BY http_status), ',') AS statuses FROM c GROUP BY src_ip",
