@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from threatlake.functions import net
@@ -144,3 +146,35 @@ def test_validator(spark, tmp_path):
     listed = files.catalogue(spark, str(tmp_path))
     assert {r.path.rsplit("/", 1)[1]: (r.valid, r.sha256 is not None) for r in listed.collect()} == {"a.csv": (True, True), "b.txt": (True, True), "d.csv": (True, True)}
     assert files.storage_stats(listed).first().files == 3
+
+
+def test_rows_that_cannot_be_normalized_are_kept_apart(spark):
+    import random
+    from urllib.parse import urlsplit
+
+    from threatlake.operators import normalize
+
+    r = random.Random(9)
+    hosts = ["[::1]", "[::1", "::1]", "[v1.x]", "[v]", "[1.2.3.4]", "a", "[fe80::1%eth0]", "[fe80::1%]", "", "[]", "[xyz]", "[2001:DB8::1]", "b]["]
+    uris = [r.choice(["http:", "", "x+y:", "ht tp:"]) + r.choice(["//", "//", "/", ""]) + r.choice(["", "", "u@", "u:p@", "[u]@"]) + r.choice(["", "", "a"]) + r.choice(hosts) + r.choice(["", ":80", "x", ":"]) + r.choice(["", "/p[1]?q=1", "?a=]", "#["]) for _ in range(1500)]
+    uris += [None, "", "  ", "a=[b", "/x?a=[", "q=//[::1"]
+
+    def fails(u):
+        u = (u or "").strip()
+        if not u or ("?" not in u and "=" in u and not u.startswith("/") and "://" not in u):
+            return False
+        try:
+            urlsplit(u)
+            return False
+        except ValueError:
+            return True
+
+    p = spark.createDataFrame([(k, u, "1.2.3.4") for k, u in enumerate(uris)], "row_number long, uri string, src_ip string")
+    events, failed = normalize.checked(p)
+    bad = {x.row_number for x in failed.collect()}
+    wrong = [(k, u) for k, u in enumerate(uris) if fails(u) != (k in bad)]
+    assert not wrong, wrong[:6]
+    assert 100 < len(bad) < len(uris) and {x.row_number for x in events.select("row_number").collect()} == set(range(len(uris))) - bad
+    c = normalize.counts(p).first()
+    assert (c.rows, c.errors, c.normalized) == (len(uris), len(bad), len(uris) - len(bad)) and c.success_rate == pytest.approx(c.normalized / c.rows)
+    assert normalize.counts(p.where("false")).first().success_rate == 1.0

@@ -61,5 +61,38 @@ def normalize(parsed: DataFrame, ingest_ts: str = "1970-01-01 00:00:00") -> Data
     )
 
 
+def failure(parsed: DataFrame) -> Column:
+    """Why a parsed row can't be normalized, as a struct of kind and value; null for rows that can.
+
+    The kind `url` is an address in brackets that isn't closed, or is none. Dates, numbers and
+    addresses that can't be read are no failures: they get the time of intake, null, or `-`.
+    """
+    uri = F.regexp_replace(F.trim(F.col("uri") if "uri" in parsed.columns else F.lit(None).cast("string")), "[\t\r\n]", "")
+    bare = ~uri.contains("?") & uri.contains("=") & ~uri.startswith("/") & ~uri.contains("://")
+    authority = F.regexp_extract(uri, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
+
+    def wrong(a: Column) -> Column:
+        inside = F.regexp_extract(a, r"\[([^\]]*)", 1)
+        address = F.when(inside.startswith("v"), inside.rlike(r"^v[0-9a-fA-F]+\..+$")).otherwise(net.canonical_v6(inside).isNotNull() & ~inside.rlike(r"%.*%|%$|\["))
+        return (a.contains("[") | a.contains("]")) & ~(a.contains("]") & address)
+
+    bad = F.coalesce(~bare & F.get(F.transform(F.array(authority), wrong), F.lit(0)), F.lit(False))
+    return F.when(bad, F.struct(F.lit("url").alias("kind"), F.substring(uri, 1, 200).alias("value")))
+
+
+def checked(parsed: DataFrame, ingest_ts: str = "1970-01-01 00:00:00") -> tuple[DataFrame, DataFrame]:
+    """(normalized events of the rows that can be normalized, (row_number, kind, value) of the others)."""
+    rows = parsed.withColumn("_failure", failure(parsed))
+    failed = rows.where("_failure is not null").select("row_number", "_failure.kind", "_failure.value")
+    return normalize(rows.where("_failure is null").drop("_failure"), ingest_ts), failed
+
+
+def counts(parsed: DataFrame) -> DataFrame:
+    """One row: rows, errors, normalized, and the share of rows that were (1 without rows)."""
+    out = parsed.select(failure(parsed).alias("f")).agg(F.count("*").alias("rows"), F.count("f").alias("errors"))
+    n = F.col("rows") - F.col("errors")
+    return out.select("rows", "errors", n.alias("normalized"), F.when(F.col("rows") > 0, n / F.col("rows")).otherwise(1.0).alias("success_rate"))
+
+
 def success_rate(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("rows"), (F.count_if(F.col("src_ip") != "-") / F.count("*")).alias("success_rate"))

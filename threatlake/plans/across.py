@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatlake.operators import chunks, lookups, rollups, strides
+from threatlake.operators import chunks, lookups, normalize, rollups, strides
 from threatlake.plans import oracle
 from threatlake.plans.adapter import EV, events
 from threatlake.sources.raw_store import FileTable, RawStore
@@ -91,13 +91,32 @@ def file_table(spark: SparkSession, sf: str) -> DataFrame:
     return table.rows().select("file_id", "filename", "status", F.col("events_created").cast("string").alias("events_created"))
 
 
+def _urls(spark: SparkSession, sf: str) -> DataFrame:
+    """The events' requests as URLs, some of them with addresses in brackets."""
+    e, k = events(spark, sf), F.col("row_number") % 23
+    host = F.when(k == 3, "http://[::1").when(k == 5, "//x]").when(k == 7, "http://[2001:db8::1]:80").when(k == 9, "http://[xyz]").when(k == 11, "https://u@[v1.a]").when(k == 13, "http://[1.2.3.4]").when(k == 15, "http://[fe80::1%eth0]").otherwise("")
+    return e.select("row_number", "src_ip", F.concat(host, "uri_path").alias("uri"))
+
+
+def normalize_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.checked(_urls(spark, sf))[1]
+
+
+def normalize_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.counts(_urls(spark, sf)).withColumn("success_rate", F.round("success_rate", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (overlapping_chunks, cache_lookups, file_reports, approx_unique_targets, rollup_files, cross_file_patterns, raw_store, file_table)}
+    return {f.__name__: f for f in (overlapping_chunks, cache_lookups, file_reports, approx_unique_targets, rollup_files, cross_file_patterns, raw_store, file_table, normalize_errors, normalize_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
     files = f"{oracle.CHUNKS}, of AS (SELECT *, 'quarter-' || CAST(window_start // 900000000 AS VARCHAR) AS file_id FROM chunks WHERE strategy = 'src_ip')"
+    urls = """u AS (
+  SELECT row_number, CASE row_number % 23 WHEN 3 THEN 'http://[::1' WHEN 5 THEN '//x]' WHEN 9 THEN 'http://[xyz]' WHEN 13 THEN 'http://[1.2.3.4]' END AS bad, uri_path FROM ev)"""
     return {
+        "normalize_errors": f"WITH {EV}, {urls} SELECT row_number, 'url' AS kind, substr(bad || uri_path, 1, 200) AS value FROM u WHERE bad IS NOT NULL",
+        "normalize_counts": f"WITH {EV}, {urls} SELECT count(*) AS rows, count(bad) AS errors, count(*) - count(bad) AS normalized, round((count(*) - count(bad)) / count(*), 9) AS success_rate FROM u",
         "overlapping_chunks": f"""WITH {EV}, copied AS (
   SELECT *, unnest(range(CAST(ceil((t_us - 900000000 + 1) / 600000000) AS BIGINT), t_us // 600000000 + 1)) * 600000000 AS window_start FROM ev WHERE src_ip <> ''
 ) SELECT src_ip AS entity, window_start, count(*) AS events, count(*) FILTER (action = 'DENY') AS denied, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent, min(t_us) AS first_seen, max(t_us) AS last_seen,
