@@ -1,12 +1,17 @@
 import pytest
 from pyspark.sql import functions as F
 
-from threatlake.operators import day_state, detect
+from threatlake.operators import day_state, detect, rules
 from threatlake.plans import adapter
 from threatlake.sources.state_store import DayStateStore
 from threatlake.streaming import day_state as stream
 
 
+def rated(events):
+    """Threats by rates alone, which need no scan of texts."""
+    return detect.threats(rules.rate_matches(events, ("day",)).withColumn("phase", F.lit(1)), ("day",))
+
+
 def rows_of(df):
     return sorted(map(repr, df.collect()))
 
@@ -28,9 +33,9 @@ def test_stream_restarted_in_the_middle_equals_batch(spark, sf, tmp_path):
 
     for k in range(2):
         arrive(k)
-        stream.keep(spark, str(folder), schema, store, checkpoint, adapter.adapt).awaitTermination()
+        stream.keep(spark, str(folder), schema, store, checkpoint, adapter.adapt, rated).awaitTermination()
     arrive(2)
-    each = stream.merging(store, adapter.adapt)
+    each = stream.merging(store, adapter.adapt, find=rated)
 
     def broken(batch, number):
         each(batch, number)
@@ -42,12 +47,12 @@ def test_stream_restarted_in_the_middle_equals_batch(spark, sf, tmp_path):
         watch(spark, str(folder), schema, broken, checkpoint).awaitTermination()
     for k in (3, 4):
         arrive(k)
-    stream.keep(spark, str(folder), schema, store, checkpoint, adapter.adapt).awaitTermination()
+    stream.keep(spark, str(folder), schema, store, checkpoint, adapter.adapt, rated).awaitTermination()
 
     whole = DayStateStore(spark, str(tmp_path / "whole"))
     for k in range(5):
         e = adapter.adapt(split.where(F.col("p") == k).drop("p")).withColumn("day", F.to_date("event_ts"))
-        whole.update(f"f{k}", day_state.parts(e, detect.threats(detect.all_matches(e, keys=("day",)), ("day",))))
+        whole.update(f"f{k}", day_state.parts(e, rated(e)))
     assert rows_of(store.actors()) == rows_of(whole.actors())
     assert rows_of(store.findings()) == rows_of(whole.findings())
     assert store.commits().where("number > 0").agg(F.sum("events")).first()[0] == source.count()
