@@ -64,3 +64,17 @@ def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = P.op8_best_fit_packing(spark, sf).collect()
     assert check(docs, got, 2048) <= 1.02 * sum(r.length for r in got) / 2048 + 1
+
+
+def test_roundings_with_loose_configurations():
+    """Lengths whose best configurations leave room; the bound is the volume, the other figure what full configurations alone gave."""
+    for capacity, lengths, most in (
+        (100, {45: 9000, 27: 9000, 26: 9000}, 9040), (2048, {1000: 50_000, 520: 30_000, 515: 30_000}, 40_020), (100, {44: 997, 33: 997, 23: 997, 50: 501, 27: 1002}, 1540), (100, {40: 1000, 35: 1000, 25: 1000}, 1004), (100, {51: 1000, 48: 1000}, 1000),
+    ):
+        counts = np.zeros(capacity + 1, np.int64)
+        for k, n in lengths.items():
+            counts[k] = n
+        plan = P.solve(counts, capacity)
+        held = sum(np.bincount(c, minlength=capacity + 1) * n for c, n in plan)
+        assert (held == counts).all() and all(sum(c) <= capacity for c, _ in plan)
+        assert -(-int((counts * np.arange(capacity + 1)).sum()) // capacity) <= sum(n for _, n in plan) <= most, (capacity, lengths)

@@ -143,16 +143,9 @@ def best_configuration(profit: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Configurations and how often each is used; together they hold counts[l] pieces of each length l, no more."""
-    left = counts.astype(np.int64).copy()
-    used: list[tuple[list[int], int]] = []
-    if left[capacity]:
-        used.append(([capacity], int(left[capacity])))
-        left[capacity] = 0
+def solution(left: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
+    """Configurations and how often each is used in the linear program's solution."""
     there = left > 0
-    if not there.any():
-        return used
     need = np.maximum(left, 1).astype(float)
     total = float((left * np.arange(capacity + 1)).sum()) / capacity
     share, covered, x = total / STEPS, np.zeros(capacity + 1), {}
@@ -164,13 +157,11 @@ def solve(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
         step = min(share, float((need[a > 0] / a[a > 0]).min()))
         covered += a * step / need
         x[tuple(sorted(config, reverse=True))] = x.get(tuple(sorted(config, reverse=True)), 0.0) + step
-    for config, v in sorted(x.items(), key=lambda z: (-z[1], z[0])):
-        a = np.bincount(config, minlength=capacity + 1)
-        n = min(int(v), int((left[a > 0] // a[a > 0]).min()))
-        if n and sum(config) * 1000 >= capacity * 995:
-            used.append((list(config), n))
-            left -= a * n
-    # the rest, best fit: bins of equal room and equal contents are kept as one entry
+    return x
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """left[l] pieces of each length l, longest first, each into the fullest bin that has room; bins of equal room and equal contents are kept as one entry."""
     room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in range(capacity, 0, -1):
         n = int(left[length])
@@ -188,8 +179,41 @@ def solve(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
             n -= m * (1 if held == () or held[-1] != length or space is not None else len(held) + 1)
             held = (*held, length)
             room.setdefault(capacity - sum(held), []).append((held, m))
-    used += [(list(held), m) for s in room.values() for held, m in s]
-    return used
+    return [(list(held), m) for s in room.values() for held, m in s]
+
+
+#: A rounding takes the configurations that are filled to this share of the capacity at least.
+FILLS = (0.995, 0.97, 0.9, 0.0)
+
+
+def rounded(left: np.ndarray, capacity: int, x: dict[tuple[int, ...], float], fill: float) -> list[tuple[list[int], int]]:
+    """The solution rounded down, fullest use first, and best fit for what is left over."""
+    left, used = left.copy(), []
+    for config, v in sorted(x.items(), key=lambda z: (-z[1], z[0])):
+        a = np.bincount(config, minlength=capacity + 1)
+        n = min(int(v), int((left[a > 0] // a[a > 0]).min()))
+        if n and sum(config) >= capacity * fill:
+            used.append((list(config), n))
+            left -= a * n
+    return used + best_fit(left, capacity)
+
+
+def solve(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Configurations and how often each is used; together they hold counts[l] pieces of each length l, no more.
+
+    Rounding down leaves pieces over, which fit better beside pieces of loosely filled configurations than among
+    themselves; so the solution is rounded with all its configurations and with the fuller ones only, and the rounding
+    with the fewest sequences counts.
+    """
+    left = counts.astype(np.int64).copy()
+    used: list[tuple[list[int], int]] = []
+    if left[capacity]:
+        used.append(([capacity], int(left[capacity])))
+        left[capacity] = 0
+    if not left.any():
+        return used
+    x = solution(left, capacity)
+    return used + min((rounded(left, capacity, x, fill) for fill in FILLS), key=lambda plan: sum(n for _, n in plan))
 
 
 def pack(cut: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
