@@ -38,9 +38,27 @@ def _zoned(raw: Column) -> Column:
     return F.when(t.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9:.]+$"), F.concat(t, F.lit("Z"))).otherwise(t)
 
 
+KEPT = ["severity", "session_id", "application", "content_type", "row_hash"]
+
+
+def _with_vendor(parsed: DataFrame) -> DataFrame:
+    """parsed with what the map `vendor` holds where a field is null or empty; as it is without a map."""
+    if "vendor" not in parsed.columns:
+        return parsed
+    own = lambda n: F.nullif(n, F.lit("")) if n in parsed.columns else F.lit(None).cast("string")
+    other = lambda key: F.nullif(F.try_element_at("vendor", F.lit(key)), F.lit(""))
+    pairs = F.filter(F.map_entries("vendor"), lambda e: F.coalesce(F.trim(e["value"]) != "", F.lit(False)))
+    joined = F.substring(F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), " "), 1, 2000)
+    filled = {n: F.coalesce(own(n), other(key)) for n, key in (("uri", "url"), ("user_agent", "user_agent"), ("referrer", "referrer"), ("content_type", "content_type"))}
+    return parsed.withColumns(filled | {"original_message": F.coalesce(own("original_message"), F.nullif(joined, F.lit("")))})
+
+
 def normalize(parsed: DataFrame, ingest_ts: str = "1970-01-01 00:00:00") -> DataFrame:
     """parsed: row_number, timestamp, src_ip, dst_ip, src_port, dst_port, action, protocol, uri, method, status, user_agent,
-    referrer, username, bytes_sent, all strings but the first; absent columns count as null."""
+    referrer, username, bytes_sent, all strings but the first; absent columns count as null. Where there is a map `vendor`,
+    it stands in for url, user_agent, referrer, content_type and the message (its entries as `key=value`); what the rows have
+    of severity, session_id, application, content_type, duration_ms, row_hash and vendor is kept."""
+    parsed = _with_vendor(parsed)
     c = lambda n: F.col(n) if n in parsed.columns else F.lit(None).cast("string")
     # what is used more than once has its own projection, so that it is computed once
     rows = parsed.withColumns({
@@ -58,16 +76,22 @@ def normalize(parsed: DataFrame, ingest_ts: str = "1970-01-01 00:00:00") -> Data
         dst.alias("dst_ip"), c("dst_host").alias("dst_host"), port.alias("dst_port"), action(c("action")).alias("action"), protocol(c("protocol"), port).alias("protocol"), F.nullif(c("username"), F.lit("")).alias("username"),
         safe_int(c("bytes_sent")).alias("bytes_sent"), safe_int(c("bytes_received")).alias("bytes_received"), safe_int(c("response_size")).alias("response_size"), internal("src").alias("is_internal_src"), F.when(dst.isNotNull(), internal("dst")).alias("is_internal_dst"),
         F.upper(c("method")).alias("http_method"), safe_int(c("status")).cast("int").alias("http_status"), path.alias("uri_path"), query.alias("uri_query"), c("user_agent").alias("user_agent"), c("referrer").alias("referrer"), F.substring(message, 1, 2000).alias("original_message"),
+        *(F.nullif(n, F.lit("")).alias(n) for n in KEPT if n in parsed.columns), *(safe_int(c(n)).alias(n) for n in ["duration_ms"] if n in parsed.columns), *(n for n in ["vendor"] if n in parsed.columns),
     )
 
 
+def _uri(parsed: DataFrame) -> Column:
+    own = F.col("uri") if "uri" in parsed.columns else F.lit(None).cast("string")
+    return F.coalesce(F.nullif(own, F.lit("")), F.try_element_at("vendor", F.lit("url"))) if "vendor" in parsed.columns else own
+
+
 def failure(parsed: DataFrame) -> Column:
     """Why a parsed row can't be normalized, as a struct of kind and value; null for rows that can.
 
     The kind `url` is an address in brackets that isn't closed, or is none. Dates, numbers and
     addresses that can't be read are no failures: they get the time of intake, null, or `-`.
     """
-    uri = F.regexp_replace(F.trim(F.col("uri") if "uri" in parsed.columns else F.lit(None).cast("string")), "[\t\r\n]", "")
+    uri = F.regexp_replace(F.trim(_uri(parsed)), "[\t\r\n]", "")
     bare = ~uri.contains("?") & uri.contains("=") & ~uri.startswith("/") & ~uri.contains("://")
     authority = F.regexp_extract(uri, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
 

@@ -1,21 +1,15 @@
-"""Log files as parsed rows: delimited files by column aliases, headerless web-server lines by pattern."""
+"""Log files as rows: what is in a file, how it is read, and which parser takes it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names that a field goes by, per format; the pattern of syslog-wrapped access lines; limits of a file.
-ALIASES = {
-    "timestamp": ["timestamp", "time", "datetime", "date", "event_time"], "src_ip": ["src_ip", "src", "source_ip", "source", "srcip"], "dst_ip": ["dst_ip", "dst", "destination_ip", "dest_ip", "destination", "dstip"],
-    "src_port": ["src_port", "sport", "source_port"], "dst_port": ["dst_port", "dport", "destination_port", "dest_port"], "action": ["action", "status_action", "verdict", "disposition"],
-    "protocol": ["protocol", "proto"], "username": ["username", "user", "user_name"], "bytes_sent": ["bytes_sent", "bytes", "bytes_out", "sent_bytes"], "bytes_received": ["bytes_received", "bytes_in"],
-    "uri": ["uri", "url", "request_uri", "uri_path"], "method": ["method", "http_method", "request_method"], "status": ["status", "http_status", "response_code", "status_code"],
-    "user_agent": ["user_agent", "useragent", "ua"], "referrer": ["referrer", "referer"], "dst_host": ["dst_host", "host", "hostname"],
-}
-ACCESS = r'(?:^|\]: *)([0-9A-Fa-f.:-]+)[ ,]+([0-9A-Fa-f.:-]+)(?:[ ,]+\S+)*? +(\S+) +\S+ +\S+ +\[?([0-9]{1,2}/[A-Za-z]{3}/[0-9]{4}:[0-9:]{8} [+-][0-9]{4})\]? +"([A-Z]+) (\S+)(?: [^"]*)?" ([0-9]{3}) (\S+)(?: +\S+)?(?: +"([^"]*)")?(?: +"([^"]*)")?'
+from threatlake.sources.parsers import detect, parse_rows, resolve, row_hash  # noqa: F401
+
+# Limits of a file.
 LARGEST, DELIMITERS, NAME_LENGTH, SAMPLE_COLUMNS = 500 * 1024 * 1024, ",;\t|", 50, 20
 # End of the fixed values.
 
@@ -59,21 +53,41 @@ def _opened(spark: SparkSession, path: str) -> tuple[str, list[str], Callable[[]
     return charset, [(r[0] or "").lstrip("\ufeff") for r in text().limit(5).collect()], text
 
 
-def _csv(spark: SparkSession, path: str, sep: str, charset: str, **more) -> DataFrame:
-    return spark.read.csv(path, sep=sep, mode="PERMISSIVE", escape='"', multiLine=True, encoding=charset, **more)
+def broken_lines(text: DataFrame) -> bool:
+    """Whether quotes may hold line breaks: some line has an odd number of quotes."""
+    return not text.where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+
+
+def _csv(spark: SparkSession, path: str, sep: str, charset: str, multi: bool = True, **more) -> DataFrame:
+    return spark.read.csv(path, sep=sep, mode="PERMISSIVE", escape='"', multiLine=multi, encoding=charset, **more)
+
+
+def numbered(rows: DataFrame, first: int) -> DataFrame:
+    """rows with row_number counted from `first` without gaps, in the order of the scan: a pass counts the rows of each
+    partition, whose offsets (a row for each partition) are broadcast."""
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+    offsets, at = [], first
+    for p, n in sizes:
+        offsets.append((p, at))
+        at += n
+    table = rows.sparkSession.createDataFrame(offsets, "_p int, _from long")
+    placed = rows.select(F.spark_partition_id().alias("_p"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_i"), *rows.columns)
+    # what a partition holds goes with its number, before the join
+    return placed.join(F.broadcast(table), "_p").select((F.col("_from") + F.col("_i")).alias("row_number"), *(f"`{c}`" for c in rows.columns))
 
 
 def read_rows(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """(format, rows with row_number): `delimited` with one string column a field, or `lines` with logevent."""
     charset, head, text = _opened(spark, path)
     first = head[0] if head else ""
-    order = F.monotonically_increasing_id()
     if first.lstrip('"').startswith("<") and ("HTTP/" in first or "httpd[" in first):
         lines = text().where("trim(value) != ''").select(F.regexp_replace(F.regexp_replace("value", '^"(<.*)"$', "$1"), '""', '"').alias("logevent"))
-        return "lines", lines.select((order + 1).alias("row_number"), "logevent")
-    rows = _csv(spark, path, delimiter(head), charset, header=True, enforceSchema=False)
+        return "lines", numbered(lines, 1)
+    # a file is only read by one task if a quoted field may run over lines
+    multi = charset.startswith("UTF-16") or broken_lines(text())
+    rows = _csv(spark, path, delimiter(head), charset, multi, header=True, enforceSchema=False)
     clean = [F.col(f"`{c}`").alias(c.strip().strip("|").strip().lower()) for c in rows.columns]
-    return "delimited", rows.select((order + 2).alias("row_number"), *clean)
+    return "delimited", numbered(rows.select(*clean), 2)
 
 
 def _numeric(cell: str) -> bool:
@@ -118,47 +132,10 @@ def validate(spark: SparkSession, path: str) -> dict:
     return found | {"rows": n - 1, "columns": len(names), "has_header": is_header(*top), "sample_columns": names[:SAMPLE_COLUMNS]}
 
 
-def resolve(columns: list[str]) -> dict[str, str]:
-    """Field to column, by alias, whatever the case."""
-    known = {c.lower(): c for c in columns}
-    return {f: known[a] for f, names in ALIASES.items() for a in names[:1] + names[1:] if a in known and a == next(n for n in names if n in known)}
-
-
-def detect(columns: list[str], sample: list[dict]) -> tuple[str, float]:
-    """(parser, confidence) of the most confident parser."""
-    names = {c.lower() for c in columns}
-    line = str(sample[0].get("logevent", "")) if sample and len(columns) <= 2 else ""
-    found = resolve(columns)
-    scores = {
-        "generic": min(0.45, 0.11 * len(found)),
-        "syslog_apache": 0.9 if "HTTP/" in line or "httpd[" in line else 0.0,
-        "web_waf": 0.8 if {"srcip", "dstip"} <= names and names & {"url", "uri", "threat_type"} else 0.0,
-        "firewall": (0.5 + 0.3 * bool({"src_ip", "dst_ip"} <= found.keys())) if "action" in found and any(n.startswith(("rule", "zone", "policy")) for n in names) else 0.0,
-        "network_flow": 0.2 * len(names & {"bytes", "packets", "duration"}) if {"src_ip", "dst_ip"} <= found.keys() else 0.0,
-    }
-    return max(scores.items(), key=lambda kv: kv[1])
-
-
-def parse_delimited(rows: DataFrame) -> DataFrame:
-    return rows.select("row_number", *(F.col(f"`{c}`").cast("string").alias(f) for f, c in resolve(rows.columns).items()))
-
-
-def parse_lines(rows: DataFrame, order: str = "src_first") -> DataFrame:
-    """Fields of access lines; a line that doesn't fit keeps its message and has null fields."""
-    part = lambda i: F.nullif(F.regexp_extract("logevent", ACCESS, i), F.lit(""))
-    a, b = (1, 2) if order == "src_first" else (2, 1)
-    dash = lambda c: F.nullif(c, F.lit("-"))
-    return rows.select("row_number", part(4).alias("timestamp"), dash(part(a)).alias("src_ip"), dash(part(b)).alias("dst_ip"), part(3).alias("dst_host"), part(5).alias("method"), part(6).alias("uri"), part(7).alias("status"), dash(part(8)).alias("bytes_sent"), dash(part(9)).alias("referrer"), dash(part(10)).alias("user_agent"), F.col("logevent").alias("original_message"))
-
-
-def parse(spark: SparkSession, path: str, order: str = "src_first") -> DataFrame:
-    kind, rows = read_rows(spark, path)
-    return parse_lines(rows, order) if kind == "lines" else parse_delimited(rows)
-
-
-def row_hash(columns: list[str]) -> Column:
-    """A digest of a row's named values, whatever the order of columns."""
-    return F.substring(F.sha2(F.concat_ws("\x1f", *(F.concat(F.lit(c + "\x1e"), F.coalesce(F.col(c).cast("string"), F.lit("\x00"))) for c in sorted(columns))), 256), 1, 16)
+def parse(spark: SparkSession, path: str, order: str | None = None, parser: str | None = None) -> DataFrame:
+    """The rows of a file by the named parser, or by the one that is most confident of it."""
+    _, rows = read_rows(spark, path)
+    return parse_rows(rows, parser, order)
 
 
 def catalogue(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
