@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threatlake.functions import net, text
 from threatlake.operators import chunks, detect, incidents, mitre, normalize, rules, state, summaries
 from threatlake.plans.adapter import events
-from threatlake.plans import across, days, oracle, parsed
+from threatlake.plans import across, analyses, days, oracle, parsed
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -171,8 +171,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dedup_by_hash": lambda s, d: s.read.parquet(f"{d}/documents.parquet").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")),
         "rollup_actors": lambda s, d: incidents.rollup(_chunks(s, d)).withColumn("risk_score", F.round("risk_score", 6)),
         "geo_range_join": geo_range_join,
-    } | days.queries() | across.queries() | parsed.queries()
+    } | days.queries() | across.queries() | parsed.queries() | analyses.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql() | days.oracle_sql() | across.oracle_sql() | parsed.oracle_sql()
+    return oracle.oracle_sql() | days.oracle_sql() | across.oracle_sql() | parsed.oracle_sql() | analyses.oracle_sql()
