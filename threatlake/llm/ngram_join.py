@@ -3,14 +3,16 @@
 All shingles stand in one global order, rarest first: by a table of hashed document frequencies, of fixed size, summed
 over the whole corpus, then by hash. A document's set is kept in that order, and the order is cut into fragments of
 equal mass. Two sets as similar as the threshold share a shingle of both prefixes (the rarest n - ceil(t n) + 1), which
-gives candidates; the overlap of a candidate pair is counted within each fragment on its own, and the partial counts
-are summed per pair, which gives the exact similarity.
+gives candidates. A sketch of each set (how many of its shingles fall in each of n/4 to n/2 buckets, a byte each) bounds
+the overlap of a pair from above, so pairs that can't reach the threshold are told without their sets. The overlap of
+every other candidate pair is counted within each fragment on its own, and the partial counts are summed per pair, which
+gives the exact similarity.
 
 Documents of equal sets are one class from the start. A prefix shingle that more than `SMALL` classes share doesn't
 pair them all: one of them is the pivot, every other is counted against it, and those in the pivot's component need no
 more. The rest are grouped again; pairs across a pivot's component are only counted where the places of their first
-shared shingles and the exact distances to the pivot allow a link (|d(x) - d(y)| <= 1 - t, the triangle inequality of
-the Jaccard distance). So no link between components is lost, and a large group of near copies costs a row a member.
+shared shingles and the distances to the pivot, or their bounds, allow a link (|d(x) - d(y)| <= 1 - t, the triangle
+inequality of the Jaccard distance). So no link between components is lost, and a large group of near copies costs a row a member.
 
 Null texts and texts without words have an empty set and link with nothing. Texts of fewer words than a shingle have
 one shingle, the whole sequence. Rows with equal ids count as documents of their own, each with the component of its own
@@ -88,25 +90,55 @@ def _ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, rank[(s >> np.uint64(44)).astype(np.int64)]))]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of 2^k buckets of their highest bits; empty where a byte can't hold a count."""
+    bits = max(0, len(s).bit_length() - 2)
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(s)])
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """A bound of the overlap of two sets, by their sketches and sizes; the coarser sketch decides."""
+    if not a or not b:
+        return min(na, nb)
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)).sum())
+
+
+def bounds(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b, na, nb, most) of pairs (a, b): the sizes of both sets, and the most shingles they can share. sizes: rep, n, sketch."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, sa, sb = (batch.column(c) for c in ("a", "b", "na", "nb", "sa", "sb"))
+            most = [most_shared(*x) for x in zip(sa.to_pylist(), sb.to_pylist(), na.to_pylist(), nb.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b, na, nb, pa.array(most, pa.int64())], ["a", "b", "na", "nb", "most"])
+
+    both = pairs.select("a", "b").join(sizes.toDF("a", "na", "sa"), "a").join(sizes.toDF("b", "nb", "sb"), "b")
+    return both.mapInArrow(bound, "a long, b long, na int, nb int, most long")
+
+
 def prefixes(rows: DataFrame, shared, words: int, percent: int) -> DataFrame:
-    """(id, h, n, set_hash, prefix): the size and digest of each row's set and its rarest shingles in global order."""
+    """(id, h, n, set_hash, prefix, sketch): the size and digest of each row's set, its rarest shingles in global order, its sketch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         rank, _ = shared.value
         for b in batches:
-            n, digest, prefix = [], [], []
+            n, digest, prefix, seen = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, words)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                seen.append(sketch(s))
                 prefix.append(_ordered(s, rank)[: len(s) + 1 + (-percent * len(s)) // 100 if len(s) else 0].view(np.int64))
             sizes = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["id", "h", "n", "set_hash", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(seen, pa.binary())], ["id", "h", "n", "set_hash", "prefix", "sketch"])
 
-    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, h long, n long, set_hash binary, prefix array<long>")
+    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, h long, n long, set_hash binary, prefix array<long>, sketch binary")
 
 
 def fragments(texts: DataFrame, shared, words: int) -> DataFrame:
@@ -159,10 +191,10 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     docs = docs.select(F.col(key).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), F.col(text).alias("text"))
     shared = spark.sparkContext.broadcast(order(frequencies(docs, words)))
     full = table(prefixes(docs, shared, words, percent), "prefixes")
-    first = full.where("n > 0").groupBy("set_hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("f"), F.min_by(F.struct(F.col("n").cast("int").alias("n"), "prefix"), F.struct(F.col("id").isNull(), "id", "h")).alias("s"))
+    first = full.where("n > 0").groupBy("set_hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("f"), F.min_by(F.struct(F.col("n").cast("int").alias("n"), "prefix", "sketch"), F.struct(F.col("id").isNull(), "id", "h")).alias("s"))
     # the number holds once the table is written
-    prefixed = table(first.select(F.monotonically_increasing_id().alias("rep"), "set_hash", F.col("f.id").alias("id"), F.col("f.h").alias("h"), "s.n", "s.prefix"), "prefixed")
-    sets, classes = table(full.drop("prefix"), "sets"), table(prefixed.drop("prefix"), "classes")
+    prefixed = table(first.select(F.monotonically_increasing_id().alias("rep"), "set_hash", F.col("f.id").alias("id"), F.col("f.h").alias("h"), "s.n", "s.prefix", "s.sketch"), "prefixed")
+    sets, classes = table(full.drop("prefix", "sketch"), "sets"), table(prefixed.drop("prefix"), "classes")
     drop(full)
 
     rows = prefixed.select("rep", "n", F.posexplode("prefix").alias("at", "shingle"))
@@ -184,19 +216,21 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     pairs = table(pairs.union(groups.where("g != x").select(F.least("g", "x"), F.greatest("g", "x"))).distinct(), "pairs")
     drop(posted)
 
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = table(classes.join(wanted, "rep").select("rep", "id", "h"), "wanted")
-    same = docs.id.eqNullSafe(wanted.id) & (docs.h == wanted.h)
-    parts = table(fragments(docs.join(bounded(wanted, wanted.count()), same).select("rep", "text").dropDuplicates(["rep"]), shared, words), "parts", ("fragment",))
-    drop(wanted)
-    size = classes.select("rep", "n")
-
     def counted(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, shared, jaccard distance) of all these pairs."""
-        out = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").join(overlaps(pairs, parts), ["a", "b"], "left")
-        out = out.withColumn("shared", F.coalesce("shared", F.lit(0)))
-        union = F.col("na") + F.col("nb") - F.col("shared")
-        return table(out.select("a", "b", (100 * F.col("shared") >= percent * union).alias("linked"), (1 - F.col("shared") / union).alias("d")), name)
+        """(a, b, linked, low, high) of all these pairs, with bounds of the Jaccard distance, which are equal where it was counted."""
+        bound = table(bounds(pairs, classes.select("rep", "n", "sketch")), "bound")
+        may = bound.where(f"100 * most >= {percent} * (na + nb - most)")
+        wanted = may.select(F.col("a").alias("rep")).union(may.select("b")).distinct()
+        wanted = table(classes.join(wanted, "rep").select("rep", "id", "h"), "wanted")
+        same = docs.id.eqNullSafe(wanted.id) & (docs.h == wanted.h)
+        parts = table(fragments(docs.join(bounded(wanted, wanted.count()), same).select("rep", "text").dropDuplicates(["rep"]), shared, words), "parts", ("fragment",))
+        exact = may.select("a", "b").join(overlaps(may, parts), ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0)).alias("shared"))
+        distance = lambda c: 1 - F.col(c) / (F.col("na") + F.col("nb") - F.col(c))
+        linked = F.coalesce(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")), F.lit(False))
+        out = bound.join(exact, ["a", "b"], "left").select("a", "b", linked.alias("linked"), F.coalesce(distance("shared"), distance("most")).alias("low"), F.coalesce(distance("shared"), F.lit(1.0)).alias("high"))
+        out = table(out, name)
+        drop(bound, wanted, parts)
+        return out
 
     ids = classes.select(F.col("rep").alias("id"))
     seen = counted(pairs, "counted")
@@ -205,21 +239,21 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     comp = table(components(ids, links, "classes-cc"), "comp")
     for turn in range(ROUNDS):
         far = (
-            groups.join(seen.select(F.col("a").alias("g"), F.col("b").alias("x"), "d").union(seen.select("b", "a", "d")), ["g", "x"], "left")
+            groups.join(seen.select(F.col("a").alias("g"), F.col("b").alias("x"), "low", "high").union(seen.select("b", "a", "low", "high")), ["g", "x"], "left")
             .join(comp.toDF("x", "cx"), "x").join(comp.toDF("g", "cg"), "g")
-            .select("g", "x", "n", "i", "s", F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"), "cx", "cg")
+            .select("g", "x", "n", "i", "s", F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"), "cx", "cg")
         )
         far = table(far.withColumn("band", _band("n", percent)), "far")
         rest = far.where("cx != cg")
         if rest.isEmpty():
             drop(far)
             break
-        outer = rest.drop("s").toDF("g", "x", "nx", "ix", "dx", "cx", "cg", "band")
+        outer = rest.drop("s").toDF("g", "x", "nx", "ix", "lx", "hx", "cx", "cg", "band")
         around = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
-        inner = far.where("cx = cg").select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("d").alias("dy"), around)
+        inner = far.where("cx = cg").select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("low").alias("ly"), F.col("high").alias("hy"), around)
         across = outer.join(inner, ["g", "band"]).where(_near(percent))
         if turn == ROUNDS - 1:  # what is still apart is counted pair by pair
-            other = rest.select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("d").alias("dy"), F.col("cx").alias("cy"), around)
+            other = rest.select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("low").alias("ly"), F.col("high").alias("hy"), F.col("cx").alias("cy"), around)
             across = across.select("x", "y").union(outer.join(other, ["g", "band"]).where(f"x < y and cx != cy and {_near(percent)}").select("x", "y"))
         done = seen.select("a", "b")
         new = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b")
@@ -235,7 +269,7 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
         if not late.where("linked").isEmpty():
             before, comp = comp, table(components(ids, links, "classes-cc"), "comp")
             drop(before)
-    drop(parts, groups)
+    drop(groups)
     of_class = classes.select("set_hash", "rep", "id").join(comp.toDF("rep", "root"), "rep")
     named = of_class.groupBy("root").agg(F.min("id").alias("component_id"))  # a null id is no one's component
     of_class = of_class.join(named, "root").select("set_hash", "component_id", "root")
@@ -249,9 +283,9 @@ def _band(n: str, percent: int) -> Column:
 
 
 def _near(percent: int) -> str:
-    """What sizes, first places and distances to a common pivot must satisfy for x and y to link; a hair of room for rounding."""
+    """What sizes, first places and bounds of the distances to a common pivot must satisfy for x and y to link; a hair of room for rounding."""
     places = f"(100 + {percent}) * least(nx - ix, ny - iy) >= {percent} * (nx + ny)"
-    return f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {places} and abs(dx - dy) <= {(100 - percent) / 100} + 1e-9"
+    return f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {places} and greatest(lx - hy, ly - hx) <= {(100 - percent) / 100} + 1e-9"
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
