@@ -62,3 +62,27 @@ def test_addresses_and_text(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == urls
     got = spark.createDataFrame([("a%20b+c%zz",)], "u string").select(text.unquote(F.col("u")), text.host(F.lit("https://u:p@A.b:8/x")), text.percent(F.lit(0.125))).first()
     assert tuple(got) == ("a b+c%zz", "a.b", "12%")
+
+
+def test_tokens_and_redirects_behind_literals(spark):
+    """Literals spare the expressions on ASCII text only; what they find is what the expressions alone find."""
+    none = "eyJhbGciOiJub25lIn0.eyJzdWIiOiJhIn0.x"
+    probes = [f"token={none}", f"é {none}", none.upper(), "eyj", "GET token=eyJab.cd.ef", "next=https://evil.example/a", "é&NEXT = https://evil.example/a", "a=1&redirect=//evil.example", "ſ&dest=//evil.example", "urls=//evil.example", "goto//x"]
+    df = spark.createDataFrame([event(i, "/x", p) for i, p in enumerate(probes)], COLUMNS)
+    got = {(r.row_number, r.rule_name) for r in rules.matches(df).collect()}
+    jwt, redirect = re.compile(rules.JWT, re.I), re.compile(rules.REDIRECTS, re.I)
+    for i, p in enumerate(probes):
+        assert ((i, "jwt_manipulation") in got) == bool(jwt.search(p)), p
+        found = redirect.search(p)
+        assert ((i, "open_redirect") in got) == bool(found and found[1].startswith(("//", "https://evil"))), p
+
+
+def test_rules_are_evaluated_once_and_rows_dealt(spark):
+    from threatlake.plans import adapter
+
+    # without the outer form Spark puts a filter on the array of hits below the generator
+    plan = rules.matches(spark.createDataFrame([event(1)], COLUMNS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("prototype_pollution") <= 2 and "Filter (size(" not in plan
+    one = spark.range(1000).coalesce(1)
+    parts = [len(p) for p in adapter.dealt(one, 50).rdd.glom().collect()]
+    assert len(parts) == 20 and max(parts) <= 60 and sum(parts) == 1000
