@@ -114,6 +114,32 @@ def test_calibration_measured_on_faulty_scores():
     assert d.thresholds == [2.0, 2.0, 2.0]  # 0.75 is below PRECISION
 
 
+def test_fit_uses_all_windows(spark, corpus, monkeypatch):
+    """Of more windows than a group holds every one is trained on or held out; groups this small learn little, but nothing wrong."""
+    rows, asked = corpus
+    monkeypatch.setattr(S, "GROUP", 250)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    used = []
+    for name in ("trained", "measured"):
+
+        def counted(groups, *more, f=getattr(S, name)):
+            used.append([tuple(r) for r in groups.select("g", "kind", "window").collect()])
+            return f(groups, *more)
+
+        monkeypatch.setattr(S, name, counted)
+    d = S.fit(docs)
+    want = set()
+    for _, t, _ in rows:
+        found = S.candidates(t)
+        want |= {(k, w.tobytes()) for (x, y), k in zip(found, S.labels(found, S.base_spans(t)), strict=True) for w in S.windows(t, x, y)}
+    got = [(k, bytes(w)) for part in used for _, k, w in part]
+    assert len(got) == len(want) and set(got) == want
+    assert len({g for g, _, _ in used[0]}) >= 3
+    out = {r.doc_id: r.n_other for r in S.secrets(spark.createDataFrame([a[:2] for a in asked], "doc_id long, text string"), d).collect()}
+    assert sum(out[i] > 0 for i, _, secret in asked if secret) > 0
+    assert np.mean([out[i] > 0 for i, _, secret in asked if not secret]) <= 0.05
+
+
 def test_nulls_empties_repeats_and_long_texts(spark):
     long = "word " * 60_000 + "token: abcdefgh12345 " + "0123456789abcdef" * 5_000
     rows = [(1, None, 1), (2, "", 1), (None, "secret=abcdefgh1", 1), (3, "x", 1), (3, "x", 1), (4, long, 1)]

@@ -75,18 +75,25 @@ class Network:
             np.add.at(g["embed"], b, np.einsum("bf,wef->bfwe", h[:, mine], p[f"w{w}"]))
         return g
 
+    def start(self) -> dict:
+        """The moments of Adam and its number of steps, before the first."""
+        return {"m": {k: np.zeros_like(v) for k, v in self.p.items()}, "v": {k: np.zeros_like(v) for k, v in self.p.items()}, "t": 0}
+
+    def pass_over(self, x: np.ndarray, y: np.ndarray, state: dict, rate: float, r: np.random.Generator) -> None:
+        """Adam's steps over all windows once, in random order."""
+        m, v = state["m"], state["v"]
+        for rows in np.array_split(r.permutation(len(x)), max(1, len(x) // BATCH)):
+            state["t"] += 1
+            t = state["t"]
+            for k, g in self.gradient(x[rows], y[rows]).items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
-        r = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v, t = {k: np.zeros_like(u) for k, u in self.p.items()}, 0
+        r, state = np.random.default_rng(seed), self.start()
         for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
-            for rows in np.array_split(r.permutation(len(x)), max(1, len(x) // BATCH)):
-                t += 1
-                for k, g in self.gradient(x[rows], y[rows]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            self.pass_over(x, y, state, RATE * (1 - epoch / EPOCHS), r)
         return self
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
