@@ -34,3 +34,16 @@ def test_query(spark, sf):
     got = {r.doc_id: r for r in T.op1_token_counts(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         assert (got[r.doc_id].n_bytes, got[r.doc_id].n_tokens) == (len(r.text.encode()), len(sp.encode(r.text)))
+
+
+def test_heads_and_endings_share_work():
+    c, plain = T.PrefixCounter(PATH), T.PrefixCounter(PATH)
+    words = ["▁intern", "▁international", "▁interne", "▁inter", "▁int", "日本語テキスト", "▁日本語テ", "日本語テ", "▁😀😀😀😀😀x", "▁😀😀😀😀y"]
+    for w in words:  # the later ones begin from states that were kept
+        plain.heads.clear()
+        assert c.steps(w) == plain.steps(w)
+    kept = {k: [x[:] for x in v] for k, v in c.heads.items()}
+    assert "▁inte" in kept and all(len(k) == T.HEAD for k in kept)
+    [c.steps(w) for w in reversed(words)]
+    assert {k: [*v] for k, v in c.heads.items()} == kept
+    assert sum(len({*v}) for v in c.ends.values()) < len(c.pieces) and {p for p in c.pieces if len(p) in c.ends[p[-3:]]} == c.pieces

@@ -29,6 +29,8 @@ from threatlake.llm.common import read
 
 #: Chunks kept by a worker in each of two generations, and the longest kept one: together about 150 MB.
 CACHE_CHUNKS, CACHE_LENGTH = 250_000, 64
+#: Characters at a chunk's begin after which the program's state is kept, and most kept states (about 25 MB).
+HEAD, HEADS = 5, 40_000
 SPACE = "▁"
 
 
@@ -43,8 +45,13 @@ class PrefixCounter:
         self.pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not special(i)}
         if any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces):
             raise ValueError("the program needs pieces that stop at spaces and line ends")
-        self.longest = max(map(len, self.pieces))
+        # lengths of the pieces that end in three characters (those of shorter pieces: in all they have), longest first
+        ends: dict[str, set[int]] = {}
+        for p in self.pieces:
+            ends.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.ok: dict[tuple[str, str], bool] = {}
+        self.heads: dict[str, tuple[list, list, list]] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+").findall
@@ -61,19 +68,40 @@ class PrefixCounter:
 
     def steps(self, chunk: str) -> bytes:
         """The change of the count at each character of a chunk, as signed bytes."""
-        pieces, longest, side = self.pieces, self.longest, self.side_by_side
-        count, last = [0], [""]
-        for i in range(1, len(chunk) + 1):
-            for j in range(max(0, i - longest), i):
-                p = chunk[j:i]
-                if p in pieces and (j == 0 or not last[j] or side(last[j], p)):
-                    count.append(count[j] + 1)
-                    last.append(p)
-                    break
+        pieces, ends, known, side = self.pieces, self.ends, self.ok.get, self.side_by_side
+        found = self.heads.get(chunk[:HEAD])
+        count, last, steps = map(list.copy, found) if found else ([0], [""], [])
+        n = count[-1]
+        for i in range(len(count), len(chunk) + 1):
+            before = n
+            for k in (3, 2, 1):  # pieces of three characters and more, then shorter ones
+                for size in ends.get(chunk[i - k : i], ()) if k <= i else ():
+                    if size > i:
+                        continue
+                    j = i - size
+                    p = chunk[j:i]
+                    if p in pieces:
+                        a = last[j]
+                        ok = not a or known((a, p))
+                        if ok is None:
+                            ok = side(a, p)
+                        if ok:
+                            break
+                else:
+                    continue
+                n = count[j] + 1
+                break
             else:  # a character without a piece: its bytes are tokens, and nothing merges with them
-                count.append(count[-1] + len(chunk[i - 1].encode()))
-                last.append("")
-        return np.diff(np.array(count)).astype(np.int8).tobytes()
+                n += len(chunk[i - 1].encode())
+                p = ""
+            count.append(n)
+            last.append(p)
+            steps.append((n - before) & 255)
+            if i == HEAD:
+                if len(self.heads) >= HEADS:
+                    self.heads.clear()
+                self.heads[chunk[:HEAD]] = count[:], last[:], steps[:]
+        return bytes(steps)
 
     def prefix_steps(self, text: str) -> bytes:
         """The change of the token count at each code point of the text; their running sum is the count."""
