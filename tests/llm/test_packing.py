@@ -78,3 +78,20 @@ def test_roundings_with_loose_configurations():
         held = sum(np.bincount(c, minlength=capacity + 1) * n for c, n in plan)
         assert (held == counts).all() and all(sum(c) <= capacity for c, _ in plan)
         assert -(-int((counts * np.arange(capacity + 1)).sum()) // capacity) <= sum(n for _, n in plan) <= most, (capacity, lengths)
+
+
+def test_missing_chunks_are_cut_by_bytes():
+    """Without the tokenizer's offsets, which cost a Python tuple a token."""
+
+    class Ids:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, text, **how):
+            return type("Encoding", (), {"ids": self.tokenizer.encode(text, **how).ids})
+
+    e = P.Encoder(FILE)
+    e.tokenizer = Ids(e.tokenizer)
+    for t in ("one two one", "a ß 日本語 テキスト 🙂🙂 é\n\n b ", " x", "x", "Erge ente ieein enlichachkeit 🙂 ß", "1 22  333\t4444"):
+        for _ in range(2):
+            assert e.encode(t) == np.array(ids_of(t)[:-1], "<u4").tobytes()

@@ -49,6 +49,11 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]", *added])).search
         self.chunks = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+").findall
+        # a character of a byte-level token stands for one byte
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -60,29 +65,24 @@ class Encoder:
         if self.whole(text):
             return self.ids(text)
         chunks, new, old = self.chunks(text), self.new, self.old
-        try:
-            return b"".join([new[c] for c in chunks])
-        except KeyError:
-            pass
         missing, alone = [], []
-        for c in set(chunks):
-            if c not in new:
-                if c in old:
-                    new[c] = old[c]
-                else:
-                    # chunks that begin with white space and end without can stand side by side
-                    (missing if c[0] in " \t\n\r" and c[-1] not in " \t\n\r" else alone).append(c)
+        for c in set(chunks).difference(new):
+            if c in old:
+                new[c] = old[c]
+            else:
+                # chunks that begin with white space and end without can stand side by side
+                (missing if c[0] in " \t\n\r" and c[-1] not in " \t\n\r" else alone).append(c)
         if missing:
-            e = self.tokenizer.encode("".join(missing), add_special_tokens=False)
-            ends = np.cumsum([len(c) for c in missing])
-            of = np.searchsorted(ends, np.array([o[1] for o in e.offsets]))
-            cuts = (4 * np.cumsum(np.bincount(of, minlength=len(missing)))).tolist()
-            data = np.array(e.ids, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode("".join(missing), add_special_tokens=False).ids, "<u4")
+            # tokens and chunks meet at the same bytes
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in missing])
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right")).tolist()
+            data = ids.tobytes()
             for c, x, y in zip(missing, [0, *cuts], cuts, strict=False):
                 new[c] = data[x:y]
         for c in alone:
             new[c] = self.ids(c)
-        out = b"".join([new[c] for c in chunks])
+        out = b"".join(map(new.__getitem__, chunks))
         for c in [*missing, *alone]:
             if len(c) > CACHE_LENGTH:
                 del new[c]
