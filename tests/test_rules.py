@@ -86,3 +86,16 @@ def test_rules_are_evaluated_once_and_rows_dealt(spark):
     one = spark.range(1000).coalesce(1)
     parts = [len(p) for p in adapter.dealt(one, 50).rdd.glom().collect()]
     assert len(parts) == 20 and max(parts) <= 60 and sum(parts) == 1000
+
+
+def test_frequent_requests_are_tested_once(spark):
+    long = "/x?q=<script>" + "y" * rules.LENGTH
+    texts = [("/item", "id=1 UNION SELECT 1", None), ("/item", None, "id=1 UNION SELECT 1"), ("/x", "q=<script>", "eyJa.b."), ("/go", "next=https://evil.example/x", ""), (None, None, None), ("/é", "q=<SCRIPT>", ""), (long, "", ""), ("/admin/x", "", "")]
+    rows = [event(100 * k + i, p, q, m, method="POST" if i % 2 else "GET", referrer="https://evil.example/a", status=[200, 404, None, 500][i // 2 % 4], size=200000 if i % 3 else None) for k, (p, q, m) in enumerate(texts) for i in range(8 * rules.REPEATED)]
+    rows += [event(5000 + i, f"/only/{i}", "q=<script>") for i in range(20)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got, want = ([tuple(r) for r in rules.matches(df, repeated=repeated).collect()] for repeated in (True, False))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 1000
+    ready = df.withColumn("_not_refused", F.col("http_status").isNull() | F.col("http_status").between(200, 399))
+    often = rules.frequent(ready, F.array_compact(F.array(*map(rules.signature, rules.RULES)))).collect()
+    assert len(often) == (len(texts) - 1) * 4 and all(r.uri_path is None or len(r.uri_path) < 20 and "/only/" not in r.uri_path for r in often)
