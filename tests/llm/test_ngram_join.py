@@ -95,3 +95,33 @@ def test_long_text_and_common_shingle(spark):
     got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows[1:])
     assert got.pop(0) == 0 and got == {i: c for i, (_, c) in want.items()}
+
+
+def cut_copies(n, seed=5):
+    """Near copies of a text that isn't there itself: each lacks other passages, so all share many shingles and few pairs link."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(3):
+            at = r.randrange(len(w) - 10)
+            w[at : at + r.randint(2, 8)] = [f"v{r.randrange(40)}"] if i % 2 else []
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_pairs_of_cut_copies(spark, monkeypatch):
+    """A group of which few pairs link makes rows for those that may, not for the product of its members."""
+    made, bounds = [], J.bounds
+
+    def counted(pairs, sizes):
+        made.append(pairs.count())
+        return bounds(pairs, sizes)
+
+    monkeypatch.setattr(J, "bounds", counted)
+    monkeypatch.setattr(J, "MEMBERS", 50, raising=False)
+    rows = cut_copies(300)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(made) < 10 * len(rows)

@@ -10,9 +10,10 @@ gives the exact similarity.
 
 Documents of equal sets are one class from the start. A prefix shingle that more than `SMALL` classes share doesn't
 pair them all: one of them is the pivot, every other is counted against it, and those in the pivot's component need no
-more. The rest are grouped again; pairs across a pivot's component are only counted where the places of their first
-shared shingles and the distances to the pivot, or their bounds, allow a link (|d(x) - d(y)| <= 1 - t, the triangle
-inequality of the Jaccard distance). So no link between components is lost, and a large group of near copies costs a row a member.
+more. The rest are grouped again. What is still in different components after that is compared in blocks, and a pair is
+only made where sizes, the places of first shared shingles, the distances to the pivot, or their bounds (|d(x) - d(y)| <=
+1 - t, the triangle inequality of the Jaccard distance), and both sketches allow a link. So no link between components is
+lost, and pairs of near copies that are too far apart cost a comparison of sketches, not a row.
 
 Null texts and texts without words have an empty set and link with nothing. Texts of fewer words than a shingle have
 one shingle, the whole sequence. Rows with equal ids count as documents of their own, each with the component of its own
@@ -38,8 +39,8 @@ from threatlake.llm.common import blocks, bounded, components, drop, read, sum_a
 BUCKETS, FRAGMENTS = 1 << 20, 4
 #: Fragments that are counted in one step.
 TOGETHER = 2
-#: Classes that share a prefix shingle and are paired at once; more get a pivot. Rounds of pivots.
-SMALL, ROUNDS = 3, 2
+#: Classes that share a prefix shingle and are paired at once; more get a pivot. Rounds of pivots. Members of a block.
+SMALL, ROUNDS, MEMBERS = 3, 2, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -206,11 +207,11 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     # sizes and positions must allow the similarity; of a similar pair's first common shingle they do
     fits = f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - ia, nb - ib) - 1) >= {percent} * (na + nb)"
     pairs = a.join(b, "shingle").where(fits).select("a", "b").distinct()
-    # the pivot is the class with the largest share of common shingles in its prefix: the least edited of near copies
+    # the pivot is the class with the largest share of common shingles in its prefix, and of these the largest: the least edited or cut of near copies
     hot = posted.where(F.col("m") > SMALL)
     share = F.count("*") / (F.first("n") + 1 - F.ceil(F.first("n") * percent / 100))
     hot = hot.join(hot.groupBy("rep").agg(share.alias("s")), "rep")
-    pivots = hot.groupBy("shingle").agg(F.max(F.struct("s", "rep"))["rep"].alias("g"))
+    pivots = hot.groupBy("shingle").agg(F.max(F.struct("s", "n", "rep"))["rep"].alias("g"))
     # i: the first place of any shingle that put x into the group; what x shares with a member begins there or later
     groups = table(hot.join(pivots, "shingle").groupBy("g", F.col("rep").alias("x")).agg(F.first("n").alias("n"), F.min("at").alias("i"), F.first("s").alias("s")), "groups")
     pairs = table(pairs.union(groups.where("g != x").select(F.least("g", "x"), F.greatest("g", "x"))).distinct(), "pairs")
@@ -237,31 +238,22 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     drop(pairs)
     links = seen.where("linked").select("a", "b")
     comp = table(components(ids, links, "classes-cc"), "comp")
+    levels = []
     for turn in range(ROUNDS):
-        far = (
-            groups.join(seen.select(F.col("a").alias("g"), F.col("b").alias("x"), "low", "high").union(seen.select("b", "a", "low", "high")), ["g", "x"], "left")
-            .join(comp.toDF("x", "cx"), "x").join(comp.toDF("g", "cg"), "g")
-            .select("g", "x", "n", "i", "s", F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(F.col("g") == F.col("x"), 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"), "cx", "cg")
-        )
-        far = table(far.withColumn("band", _band("n", percent)), "far")
-        rest = far.where("cx != cg")
+        split = groups.join(comp.toDF("x", "cx"), "x").join(comp.toDF("g", "cg"), "g").withColumn("outer", F.col("cx") != F.col("cg"))
+        split = table(split.select("g", "x", "n", "i", "s", "outer"), "split")
+        drop(groups)
+        rest = split.where("outer")
         if rest.isEmpty():
-            drop(far)
+            drop(split)
+            break
+        levels.append(split)
+        if turn == ROUNDS - 1:
             break
-        outer = rest.drop("s").toDF("g", "x", "nx", "ix", "lx", "hx", "cx", "cg", "band")
-        around = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
-        inner = far.where("cx = cg").select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("low").alias("ly"), F.col("high").alias("hy"), around)
-        across = outer.join(inner, ["g", "band"]).where(_near(percent))
-        if turn == ROUNDS - 1:  # what is still apart is counted pair by pair
-            other = rest.select("g", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("low").alias("ly"), F.col("high").alias("hy"), F.col("cx").alias("cy"), around)
-            across = across.select("x", "y").union(outer.join(other, ["g", "band"]).where(f"x < y and cx != cy and {_near(percent)}").select("x", "y"))
-        done = seen.select("a", "b")
-        new = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b")
-        heads = rest.groupBy("g").agg(F.max(F.struct("s", "x"))["x"].alias("head"))
-        before, groups = groups, table(rest.join(heads, "g").groupBy(F.col("head").alias("g"), "x").agg(F.first("n").alias("n"), F.min("i").alias("i"), F.first("s").alias("s")), "groups")
+        heads = rest.groupBy("g").agg(F.max(F.struct("s", "n", "x"))["x"].alias("head"))
+        groups = table(rest.join(heads, "g").groupBy(F.col("head").alias("g"), "x").agg(F.first("n").alias("n"), F.min("i").alias("i"), F.first("s").alias("s")), "groups")
         stars = groups.where("g != x").select(F.least("g", "x").alias("a"), F.greatest("g", "x").alias("b"))
-        todo = table(new.union(stars).distinct().join(done, ["a", "b"], "left_anti"), "todo")
-        drop(before, far)
+        todo = table(stars.distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"), "todo")
         late = counted(todo, "counted")
         drop(todo)
         seen = seen.union(late)
@@ -269,7 +261,20 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
         if not late.where("linked").isEmpty():
             before, comp = comp, table(components(ids, links, "classes-cc"), "comp")
             drop(before)
-    drop(groups)
+    if levels:
+        known = seen.select(F.col("a").alias("g"), F.col("b").alias("x"), "low", "high").union(seen.select("b", "a", "low", "high"))
+        members = reduce(DataFrame.union, (x.select(F.lit(k).alias("level"), "g", "x", "n", "i", "outer", F.lit(k == ROUNDS - 1).alias("last")) for k, x in enumerate(levels)))
+        at = F.col("g") == F.col("x")
+        members = members.join(known, ["g", "x"], "left").join(classes.select(F.col("rep").alias("x"), "sketch"), "x").join(comp.toDF("x", "c"), "x").select(
+            "level", "g", "x", "n", "i", "outer", "last", "c", "sketch", F.when(at, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(at, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"), _band("n", percent).alias("band")
+        )
+        members = table(members, "members")
+        todo = table(across(members, percent).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"), "todo")
+        late = counted(todo, "counted")
+        drop(members, todo, *levels)
+        if not late.where("linked").isEmpty():
+            before, comp = comp, table(components(ids, seen.union(late).where("linked").select("a", "b"), "classes-cc"), "comp")
+            drop(before)
     of_class = classes.select("set_hash", "rep", "id").join(comp.toDF("rep", "root"), "rep")
     named = of_class.groupBy("root").agg(F.min("id").alias("component_id"))  # a null id is no one's component
     of_class = of_class.join(named, "root").select("set_hash", "component_id", "root")
@@ -282,10 +287,63 @@ def _band(n: str, percent: int) -> Column:
     return F.floor(F.log(F.col(n)) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col(n).cast("int")
 
 
-def _near(percent: int) -> str:
-    """What sizes, first places and bounds of the distances to a common pivot must satisfy for x and y to link; a hair of room for rounding."""
-    places = f"(100 + {percent}) * least(nx - ix, ny - iy) >= {percent} * (nx + ny)"
-    return f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {places} and greatest(lx - hy, ly - hx) <= {(100 - percent) / 100} + 1e-9"
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of a group's members that may link; every pair but those of one component and, but in the last level, of two outer or two inner ones.
+
+    Both sides of a group are cut into blocks of about MEMBERS, and a task compares a pair of blocks at a time.
+    """
+    key = ["level", "g", "band"]
+    outer = members.where("outer")
+    inner = members.where("last or not outer").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    cut = lambda c: F.ceil(F.count("*") / MEMBERS).cast("int").alias(c)
+    cuts = outer.groupBy(key).agg(cut("p")).join(inner.groupBy(key).agg(cut("q")), key)
+    block = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = outer.join(cuts, key).withColumn("bx", block("p")).withColumn("by", each("q"))
+    right = inner.join(cuts, key).withColumn("by", block("q")).withColumn("bx", each("p"))
+    key, shown = [*key, "bx", "by"], ["x", "n", "i", "outer", "c", "low", "high", "sketch"]
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = [], []
+        if x.num_rows and y.num_rows:
+            (x, sx), (y, sy) = (({c: t.column(c).to_numpy() for c in shown[:-1]}, t.column("sketch").to_pylist()) for t in (x, y))
+            for u, v in near(x, y, percent):
+                most = most_shared_rows(sx, sy, x["n"], y["n"], u, v)
+                fit = 100 * most >= percent * (x["n"][u] + y["n"][v] - most)
+                a.append(x["x"][u[fit]])
+                b.append(y["x"][v[fit]])
+        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    right = right.select(*key, *shown).toDF(*(f"r_{c}" for c in key), *shown)
+    left = left.select(*key, *shown).toDF(*key, *shown)
+    return left.groupBy(key).cogroup(right.groupBy([f"r_{c}" for c in key])).applyInArrow(compare, "a long, b long")
+
+
+def near(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in x and y whose components differ, and whose sizes, first places and bounds of the distances to a common pivot allow a link; a hair of room for rounding."""
+    size, place = y["n"].astype(np.int64), y["i"].astype(np.int64)
+    for k in range(len(x["x"])):
+        n = int(x["n"][k])
+        fit = (x["c"][k] != y["c"]) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+        fit &= (100 + percent) * np.minimum(n - int(x["i"][k]), size - place) >= percent * (n + size)
+        fit &= np.maximum(x["low"][k] - y["high"], y["low"] - x["high"][k]) <= (100 - percent) / 100 + 1e-9
+        fit &= ~y["outer"] | (x["x"][k] < y["x"])  # two outer ones meet twice
+        if fit.any():
+            v = np.flatnonzero(fit)
+            yield np.full(len(v), k), v
+
+
+def most_shared_rows(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """most_shared of the sketch a[k] with each of b[v], for u that holds k alone."""
+    out, k = np.minimum(na[u], nb[v]).astype(np.int64), int(u[0])
+    lengths = np.array([len(b[j]) for j in v])
+    for n in np.unique(lengths[lengths > 0]) if a[k] else ():
+        of = np.flatnonzero(lengths == n)
+        y = np.frombuffer(b"".join(b[j] for j in v[of]), np.uint8).reshape(len(of), n).astype(np.int64)
+        x, m = np.frombuffer(a[k], np.uint8).astype(np.int64), min(len(a[k]), n)
+        out[of] = np.minimum(x.reshape(m, -1).sum(1), y.reshape(len(of), m, -1).sum(2)).sum(1)
+    return out
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
